@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairvane.llm import packing, quality_crf, queries, simhash
+from fairvane.llm import mixing, packing, quality_crf, queries, secret_scan, simhash
 from fairvane.llm.common import shared_dir
 
 
@@ -19,6 +19,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.deduplicate(docs)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+#: Tokens of each domain in the mixture.  Rates stay within one, so no document repeats;
+#: what a domain lacks to its target it gives whole.
+WEIGHTS = {"plain": 0.99, "toxic": 0.005, "junk": 0.005}
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labelled = mixing.labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mixed(docs, labelled, WEIGHTS, max_rate=1.0)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.word_vocabulary())
 
@@ -28,6 +42,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mix),
     ("packing", pack),
 ]
 

@@ -19,12 +19,33 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import WEIGHTS, labelled_domains, mixture
+
+    labelled = labelled_domains(_table(spark, sf_dir, "labels"))
+    return mixture(_table(spark, sf_dir, "documents"), labelled, WEIGHTS)
+
+
+def op2_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licences(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_crf import score_quality
 
@@ -65,8 +86,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_licence_scans": op2_licence_scans,
     "op3_packing": op3_packing,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_secret_scans": op5_secret_scans,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
