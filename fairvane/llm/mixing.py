@@ -22,6 +22,8 @@ documents every posterior is uniform; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,15 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GRID = 200
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    Filters and projections inline columns where they use them; an inlined chain of
+    columns that each use the last one several times would grow without bound.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), "\n\t\r", "   "), " "), lambda w: w != "")
 
@@ -112,45 +123,68 @@ class DomainClassifier:
 
     def described(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``n_tokens`` and ``posterior``, the rounded probabilities in steps."""
-        prepared = docs.select("*", whole_text().alias("__text")).withColumn("__words", words_of(F.col("__text")))
+        size = len(self.domains)
         if not self.weights:
-            even = F.array(*[F.lit(GRID // len(self.domains)) for _ in self.domains])
-            return prepared.select(*docs.columns, F.size("__words").cast("long").alias("n_tokens"), even.alias("posterior"))
-        numbers, tokens = _numbers(F.col("__text"), F.col("__words"), self.lists)
-        first = prepared.select(*docs.columns, tokens.alias("n_tokens"), F.array(*numbers).alias("__x"))
-        scores = []
-        for row, shift in zip(self.weights, self.shifts):
-            dot = F.aggregate(
-                F.zip_with("__x", F.array(*[F.lit(w) for w in row]), lambda a, b: a * b), F.lit(shift), lambda s, x: s + x
+            even = F.array(*[F.lit(GRID // size) for _ in self.domains])
+            found = let(words_of(whole_text()), lambda w: F.struct(F.size(w).cast("long").alias("n"), even.alias("p")))
+        else:
+            found = let(
+                whole_text(),
+                lambda text: let(words_of(text), lambda words: self._posterior(*_numbers(text, words, self.lists))),
             )
-            scores.append(dot)
-        second = first.withColumn("__scores", F.array(*scores))
-        top = F.array_max("__scores")
-        powers = F.transform("__scores", lambda s: F.exp(s - top))
-        third = second.withColumn("__powers", powers)
-        whole = F.aggregate("__powers", F.lit(0.0), lambda s, x: s + x)
-        steps = F.transform("__powers", lambda e: F.round(e / whole * GRID).cast("int"))
-        return third.select(*docs.columns, "n_tokens", steps.alias("posterior"))
+        return docs.withColumn("__found", found).select(
+            *docs.columns, F.col("__found.n").alias("n_tokens"), F.col("__found.p").alias("posterior")
+        )
+
+    def _posterior(self, numbers: list[Column], tokens: Column) -> Column:
+        def scores(x: Column) -> Column:
+            return F.array(
+                *[
+                    sum((F.lit(w) * F.get(x, F.lit(i)) for i, w in enumerate(row) if w), F.lit(shift))
+                    for row, shift in zip(self.weights, self.shifts)
+                ]
+            )
+
+        def total(powers: Column) -> Column:
+            return sum((F.get(powers, F.lit(i)) for i in range(len(self.domains))), F.lit(0.0))
+
+        def rounded(powers: Column) -> Column:
+            return let(total(powers), lambda t: F.transform(powers, lambda e: F.round(e / t * GRID).cast("int")))
+
+        steps = let(
+            F.array(*numbers),
+            lambda x: let(
+                scores(x),
+                lambda s: let(F.array_max(s), lambda top: let(F.transform(s, lambda v: F.exp(v - top)), rounded)),
+            ),
+        )
+        return F.struct(tokens.alias("n"), steps.alias("p"))
 
 
 def _shares(posterior: Column) -> Column:
     """The rounded posterior as probabilities that add up to one."""
-    whole = F.greatest(F.aggregate(posterior, F.lit(0), lambda s, x: s + x), F.lit(1))
-    return F.transform(posterior, lambda s: s / whole)
+
+    def divided(steps: Column) -> Column:
+        whole = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+        return let(F.greatest(whole, F.lit(1)), lambda t: F.transform(steps, lambda x: x / t))
+
+    return let(posterior, divided)
 
 
 def rate_of(posterior: Column, steps: list[list[float]], ridge: float, max_rate: float) -> Column:
     """The rate after all projected-gradient steps, each given by its scaled residuals."""
     if not steps:
         return F.lit(1.0)
-    p = _shares(posterior)
+    history = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in steps])
 
-    def step(rate: Column, residual: Column) -> Column:
-        slope = F.aggregate(F.zip_with(p, residual, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(0.0), F.least(F.lit(max_rate), rate - (slope + ridge * (rate - 1)) / (1 + ridge)))
+    def final(p: Column) -> Column:
+        def step(rate: Column, residual: Column) -> Column:
+            slope = F.aggregate(F.zip_with(p, residual, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+            return F.greatest(F.lit(0.0), F.least(F.lit(max_rate), rate - (slope + ridge * (rate - 1)) / (1 + ridge)))
 
-    history = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in steps])
-    return F.aggregate(history, F.lit(1.0), step)
+        return F.aggregate(history, F.lit(1.0), step)
+
+    return let(_shares(posterior), final)
 
 
 def fit_rates(
