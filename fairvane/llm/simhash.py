@@ -279,13 +279,157 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataF
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, max_bits: int = 3) -> DataFrame:
-    """``docs`` with one row of each group, the one with the smallest doc_id.
+#: Independent samples of a text's shingles, and shingles in each.
+SAMPLES, SAMPLED = 10, 3
+#: Members of a bucket times those before it that each is paired with, at most.
+BESIDE = 800
+_MIX = np.array([xxhash.xxh64_intdigest(f"sample{i}", SEED) | 1 for i in range(SAMPLES)], np.uint64)
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """Distinct hashes of the ``width``-word shingles; of the whole text if it is shorter."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    last = len(words) - width + 1
+    pairs = zip(starts[:last].tolist(), ends[width - 1 :].tolist())
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, last))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of a few hashes: the bits that are set in over half of them."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0) > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def sampled_fingerprints(hashes: np.ndarray) -> list[int]:
+    """A SimHash of each min-wise sample of the shingles, as signed integers."""
+    out = []
+    for factor in _MIX:
+        mixed = hashes * factor
+        mixed ^= mixed >> np.uint64(31)
+        k = min(SAMPLED, len(hashes))
+        chosen = np.argpartition(mixed, k - 1)[:k]
+        out.append(_signed(majority(hashes[chosen])))
+    return out
+
+
+def _sketches(width: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                text = text.as_py()
+                plain = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+                hashes = shingles(text, width)
+                rows.append(
+                    (
+                        xxhash.xxh3_128_digest(plain),
+                        _signed(fingerprint(text, width)),
+                        sampled_fingerprints(hashes),
+                    )
+                )
+            keys, fps, tables = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(keys, pa.binary()),
+                    pa.array(fps, pa.int64()),
+                    pa.array(tables, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "wording", "fp", "tables"],
+            )
+
+    return scan
+
+
+def _neighbours_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In each bucket, pairs of each member with the first and with those just before it.
+
+    Small buckets give all their pairs.  Members are sorted by another sample, which
+    brings copies of one text together; the more members, the fewer are paired with
+    each, so the pairs grow with the members and not with their square.
+    """
+    for _, _, _, node in _runs(batches, ["slot", "key", "beside", "node"], 2):
+        reach = max(2, min(len(node) - 1, BESIDE // len(node)))
+        a = [np.full(len(node) - 1, node[0]), *(node[:-d] for d in range(1, reach + 1) if d < len(node))]
+        b = [node[1:], *(node[d:] for d in range(1, reach + 1) if d < len(node))]
+        left, right = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+
+def _similar(width: int, similarity: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def of(node: int, text) -> np.ndarray:
+            if node not in known:
+                if len(known) > 500:
+                    known.clear()
+                known[node] = shingles(text.as_py(), width)
+            return known[node]
+
+        for batch in batches:
+            keep = []
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
+                x, y = of(a, ta), of(b, tb)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common + 1e-9 >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return verify
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
+    """doc_id and component_id of groups linked by Jaccard similarity of word shingles.
+
+    A SimHash of all shingles stays within ``max_bits`` bits for close copies only; at a
+    similarity of 0.8 about ten of 64 bits differ.  So besides the deletion-variant index
+    of that fingerprint, SimHashes of ten min-wise samples of three shingles are indexed
+    by equality: copies at 0.8 share at least one with a chance over 0.99.  Every
+    candidate pair is verified on the whole shingle sets of both texts.
+    """
+    sketches = stored(docs.select("doc_id", whole_text().alias("text")).mapInArrow(
+        _sketches(width), f"doc_id {dict(docs.dtypes)['doc_id']}, wording binary, fp long, tables array<long>"
+    ), "sketches")
+    texts = sketches.groupBy("wording").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("tables").alias("tables"))
+    texts = stored(texts.where("node is not null"), "wordings")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_print = texts.groupBy("fp").agg(F.min("node").alias("first"))
+    close = links(by_print.select("fp", F.col("first").alias("node")), max_bits)
+    same_print = texts.join(by_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    keyed = texts.select(
+        F.posexplode("tables").alias("slot", "key"), F.element_at("tables", -1).alias("last"), F.get("tables", F.lit(0)).alias("start"), "node"
+    ).select("slot", "key", F.when(F.col("slot") == SAMPLES - 1, F.col("start")).otherwise(F.col("last")).alias("beside"), "node")
+    dealt = keyed.repartition(partitions, "slot", "key").sortWithinPartitions("slot", "key", "beside", "node")
+    sampled = dealt.mapInArrow(_neighbours_in_buckets, "a long, b long")
+    pairs = stored(close.unionByName(same_print).unionByName(sampled).where("a < b").distinct(), "near-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Only texts that are in a pair, one row for each document.
+    wanted = docs.select(F.col("doc_id").alias("node"), whole_text().alias("text")).join(met, "node", "left_semi")
+    wanted = stored(wanted.groupBy("node").agg(F.min("text").alias("text")), "pair-texts")
+    both = (
+        pairs.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        .join(wanted.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .select("a", "b", "ta", "tb")
+    )
+    groups = components(both.mapInArrow(_similar(width, similarity), "a long, b long"))
+    named = texts.join(groups, "node", "left").select("wording", F.coalesce("root", "node").alias("component_id"))
+    return sketches.join(named, "wording", "left").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one with the smallest doc_id.
 
     Rows that share a doc_id count as one document, of which one row stays.  Rows
     without an id can't be told apart by it and stay as they are.
     """
-    groups = near_duplicates(docs, width, max_bits)
+    groups = near_copies(docs, width, similarity)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
