@@ -268,8 +268,8 @@ f AS (SELECT *, greatest(0.10, least(0.97, least(CASE WHEN k <= 1 THEN 0.65 WHEN
 g AS (SELECT *, (sev >= 0.60 OR peak >= 0.75) AND sure >= 0.30 AS strong FROM f)
 SELECT event_id, CASE WHEN veto THEN 'ANOMALY' WHEN hit THEN CASE WHEN strong THEN 'ANOMALY' ELSE 'WARNING' END WHEN degraded OR mild THEN 'WARNING' ELSE 'NORMAL' END AS status,
 CASE WHEN veto THEN true WHEN hit THEN strong OR peak >= 0.85 ELSE false END AS is_anomaly,
-round(CASE WHEN veto THEN 1.0 WHEN hit THEN sev WHEN degraded THEN greatest(sev, 0.45) ELSE sev END::DOUBLE, 8) AS severity,
-round(CASE WHEN veto THEN 0.95 WHEN hit THEN sure ELSE greatest(0.10, least(0.95, CASE WHEN degraded THEN CASE WHEN persistent = 'CORROBORATED_BY_SPATIAL' THEN 0.70 ELSE 0.50 END WHEN mild THEN 0.70 ELSE 0.90 END * (0.30 + 0.70 * suff))) END::DOUBLE, 8) AS confidence, persistent FROM g"""
+round(CASE WHEN veto THEN 1.0 WHEN hit THEN sev WHEN degraded THEN greatest(sev, 0.45) ELSE sev END::DOUBLE + 1e-9, 6) AS severity,
+round(CASE WHEN veto THEN 0.95 WHEN hit THEN sure ELSE greatest(0.10, least(0.95, CASE WHEN degraded THEN CASE WHEN persistent = 'CORROBORATED_BY_SPATIAL' THEN 0.70 ELSE 0.50 END WHEN mild THEN 0.70 ELSE 0.90 END * (0.30 + 0.70 * suff))) END::DOUBLE + 1e-9, 6) AS confidence, persistent FROM g"""
 
 
 def fused_events(spark, sf):
@@ -287,8 +287,8 @@ def fused_events(spark, sf):
 def q_fusion(spark, sf):
     f = fused_events(spark, sf)
     return f.select(
-        "event_id", c("f_status").alias("status"), c("f_is_anomaly").alias("is_anomaly"), F.round("f_severity", 8).alias("severity"),
-        F.round("f_confidence", 8).alias("confidence"), c("f_persistent").alias("persistent"),
+        "event_id", c("f_status").alias("status"), c("f_is_anomaly").alias("is_anomaly"), F.round(c("f_severity") + 1e-9, 6).alias("severity"),
+        F.round(c("f_confidence") + 1e-9, 6).alias("confidence"), c("f_persistent").alias("persistent"),
     )
 
 
