@@ -122,7 +122,7 @@ class DomainClassifier:
         return out
 
     def described(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``n_tokens`` and ``posterior``, the rounded probabilities in steps."""
+        """``docs`` with ``__n_tokens`` and ``__posterior``, the rounded probabilities in steps."""
         size = len(self.domains)
         if not self.weights:
             even = F.array(*[F.lit(GRID // size) for _ in self.domains])
@@ -133,7 +133,7 @@ class DomainClassifier:
                 lambda text: let(words_of(text), lambda words: self._posterior(*_numbers(text, words, self.lists))),
             )
         return docs.withColumn("__found", found).select(
-            *docs.columns, F.col("__found.n").alias("n_tokens"), F.col("__found.p").alias("posterior")
+            *docs.columns, F.col("__found.n").alias("__n_tokens"), F.col("__found.p").alias("__posterior")
         )
 
     def _posterior(self, numbers: list[Column], tokens: Column) -> Column:
@@ -192,10 +192,10 @@ def fit_rates(
 ) -> list[list[float]]:
     """Scaled residuals of each projected-gradient step.
 
-    ``described`` has n_tokens and posterior.  The sums by posterior are few: at most the
+    ``described`` has __n_tokens and __posterior.  The sums by posterior are few: at most the
     ways to share GRID steps among the domains, whatever the number of documents.
     """
-    cells = stored(described.groupBy("posterior").agg(F.sum("n_tokens").cast("double").alias("tokens")), "mixing-cells")
+    cells = stored(described.groupBy(F.col("__posterior").alias("posterior")).agg(F.sum("__n_tokens").cast("double").alias("tokens")), "mixing-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     if not total:
         return []
@@ -235,11 +235,11 @@ def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], max
     model = DomainClassifier.train(docs, labelled)
     described = stored(model.described(docs.select("doc_id", "text")).drop("text"), "mixing-posteriors")
     steps = fit_rates(described, model.domains, weights, max_rate)
-    p = _shares(F.col("posterior"))
-    rated = described.withColumn("rate", rate_of(F.col("posterior"), steps, 1e-3, max_rate))
+    p = _shares(F.col("__posterior"))
+    rated = described.withColumn("rate", rate_of(F.col("__posterior"), steps, 1e-3, max_rate))
     return rated.select(
         "doc_id",
-        "n_tokens",
+        F.col("__n_tokens").alias("n_tokens"),
         *[F.get(p, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)],
         "rate",
         _copies(F.col("rate"), docs).alias("copies"),
@@ -250,9 +250,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], max_r
     """``docs`` drawn to the mixture: each row as often as its copies say."""
     model = DomainClassifier.train(docs, labelled)
     described = model.described(docs)
-    narrow = stored(described.select("n_tokens", "posterior"), "mixing-posteriors")
+    narrow = stored(described.select("__n_tokens", "__posterior"), "mixing-posteriors")
     steps = fit_rates(narrow, model.domains, weights, max_rate)
-    drawn = described.withColumn("__copies", _copies(rate_of(F.col("posterior"), steps, 1e-3, max_rate), docs))
+    drawn = described.withColumn("__copies", _copies(rate_of(F.col("__posterior"), steps, 1e-3, max_rate), docs))
     if max_rate <= 1:
         return drawn.where("__copies >= 1").select(*docs.columns)
     repeated = drawn.where("__copies >= 1").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
