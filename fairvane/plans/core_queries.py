@@ -13,7 +13,7 @@ from .stand_ins import OBSERVATIONS_SQL as OBS
 from .stand_ins import STATIONS_SQL as ST
 from .stand_ins import observations, stations, table
 
-W = T.ordered()
+W = T.ordered
 OVER = "(PARTITION BY station_id ORDER BY observed_at, event_id)"
 
 
@@ -53,7 +53,7 @@ FROM s"""
 
 def temporal_layer(obs: DataFrame, channel: str) -> DataFrame:
     """Step, frozen and z scores of one channel with their worst, in one exchange."""
-    out = T.with_modified_z(T.with_frozen(obs.withColumn("step_score", T.step_score(channel, c(channel), c("observed_at"), W)), channel, W), channel, W)
+    out = T.with_modified_z(T.with_frozen(obs.withColumn("step_score", T.step_score(channel, c(channel), c("observed_at"), W())), channel, W()), channel, W())
     worst = F.greatest("step_score", "frozen_score", "z_score")
     return out.withColumn("layer_score", worst).withColumn("status", T.status_of(worst))
 
@@ -72,7 +72,7 @@ b AS (SELECT *, 2.5 * greatest(0.5, least(3.0, gap / 600)) AS lim FROM a)
 SELECT event_id, round((CASE WHEN d > lim THEN least(1.0, d / (1.8 * lim)) ELSE 0.0 END)::DOUBLE, 6) AS score FROM b""",
 )
 def q_step(spark, sf):
-    return observations(spark, sf).select("event_id", r6(T.step_score("pressure", c("pressure"), c("observed_at"), W)).alias("score"))
+    return observations(spark, sf).select("event_id", r6(T.step_score("pressure", c("pressure"), c("observed_at"), W())).alias("score"))
 
 
 @query(
@@ -80,7 +80,7 @@ def q_step(spark, sf):
     f"WITH {OBS} SELECT event_id, max(value) OVER (PARTITION BY station_id ORDER BY observed_at, event_id ROWS 5 PRECEDING) AS peak FROM obs",
 )
 def q_peak(spark, sf):
-    return observations(spark, sf).select("event_id", T.recent_peak(c("value"), W).alias("peak"))
+    return observations(spark, sf).select("event_id", T.recent_peak(c("value"), W()).alias("peak"))
 
 
 @query(
@@ -90,7 +90,7 @@ b AS (SELECT *, sum(CASE WHEN gap > 720 OR gap <= 0 THEN 1 ELSE 0 END) OVER (PAR
 SELECT event_id, session::BIGINT AS session, row_number() OVER (PARTITION BY station_id, session ORDER BY observed_at, event_id)::BIGINT AS position FROM b""",
 )
 def q_sessions(spark, sf):
-    out = T.with_sessions(observations(spark, sf), W, max_gap_min=720.0)
+    out = T.with_sessions(observations(spark, sf), W(), max_gap_min=720.0)
     return out.select("event_id", c("session").cast("long").alias("session"), c("position").cast("long").alias("position"))
 
 
@@ -101,7 +101,7 @@ WINDOW h AS (PARTITION BY station_id ORDER BY observed_at, event_id ROWS 143 PRE
 )
 def q_trend(spark, sf):
     days = T.seconds(c("observed_at")) / 86400
-    return observations(spark, sf).select("event_id", F.round(T.trend(c("value"), days, W), 5).alias("slope"))
+    return observations(spark, sf).select("event_id", F.round(T.trend(c("value"), days, W()), 5).alias("slope"))
 
 
 @query(
@@ -109,7 +109,7 @@ def q_trend(spark, sf):
     f"WITH {OBS} SELECT event_id, round(avg(value) OVER (PARTITION BY station_id ORDER BY observed_at, event_id ROWS 11 PRECEDING), 6) AS bias FROM obs",
 )
 def q_bias(spark, sf):
-    return observations(spark, sf).select("event_id", r6(F.avg("value").over(W.rowsBetween(-11, 0))).alias("bias"))
+    return observations(spark, sf).select("event_id", r6(F.avg("value").over(W().rowsBetween(-11, 0))).alias("bias"))
 
 
 @query(
@@ -128,7 +128,7 @@ def q_daypart(spark, sf):
 SELECT event_id, len(w)::BIGINT AS n, round(list_sum(w), 4) AS total FROM a WHERE len(w) = 24 AND (rn - 1 - 24) % 6 = 0""",
 )
 def q_sliding(spark, sf):
-    out = T.sliding_windows(observations(spark, sf), "value", W, 24, 6)
+    out = T.sliding_windows(observations(spark, sf), "value", W(), 24, 6)
     total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x)
     return out.select("event_id", F.size("window").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
@@ -139,7 +139,7 @@ def q_sliding(spark, sf):
 SELECT event_id, (CASE WHEN hit THEN sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY station_id, blk ORDER BY observed_at, event_id) ELSE 0 END)::BIGINT AS streak FROM a""",
 )
 def q_streak(spark, sf):
-    return T.with_streak(observations(spark, sf), c("value") > 60, W).select("event_id", c("streak").cast("long").alias("streak"))
+    return T.with_streak(observations(spark, sf), c("value") > 60, W()).select("event_id", c("streak").cast("long").alias("streak"))
 
 
 @query(
@@ -148,7 +148,7 @@ def q_streak(spark, sf):
 WINDOW h AS (PARTITION BY station_id ORDER BY observed_at, event_id ROWS BETWEEN 36 PRECEDING AND 1 PRECEDING)""",
 )
 def q_rolling(spark, sf):
-    return observations(spark, sf).select("event_id", T.rolling_median(c("value"), W).alias("baseline"))
+    return observations(spark, sf).select("event_id", T.rolling_median(c("value"), W()).alias("baseline"))
 
 
 @query(
@@ -157,7 +157,7 @@ def q_rolling(spark, sf):
 WINDOW h AS (PARTITION BY station_id ORDER BY observed_at, event_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)""",
 )
 def q_recovery(spark, sf):
-    return observations(spark, sf).select("event_id", T.stays_below(c("value"), W, 6, 90.0).alias("stays"))
+    return observations(spark, sf).select("event_id", T.stays_below(c("value"), W(), 6, 90.0).alias("stays"))
 
 
 @query(
@@ -166,8 +166,8 @@ def q_recovery(spark, sf):
 SELECT event_id, round(stddev_samp(d) OVER (PARTITION BY station_id ORDER BY observed_at, event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 6) AS noise FROM a""",
 )
 def q_noise(spark, sf):
-    diffs = observations(spark, sf).withColumn("d", c("value") - F.lag("value").over(W))
-    return diffs.select("event_id", r6(T.noise_scale(c("d"), W)).alias("noise"))
+    diffs = observations(spark, sf).withColumn("d", c("value") - F.lag("value").over(W()))
+    return diffs.select("event_id", r6(T.noise_scale(c("d"), W())).alias("noise"))
 
 
 @query(
@@ -176,7 +176,7 @@ def q_noise(spark, sf):
 SELECT station_id, round(corr(value, p), 6) AS r1 FROM a GROUP BY station_id""",
 )
 def q_autocorr(spark, sf):
-    lagged = observations(spark, sf).select("station_id", "value", F.lag("value").over(W).alias("p"))
+    lagged = observations(spark, sf).select("station_id", "value", F.lag("value").over(W()).alias("p"))
     return lagged.groupBy("station_id").agg(r6(F.corr("value", "p")).alias("r1"))
 
 
@@ -187,7 +187,7 @@ b AS (SELECT station_id, blk, count(*) FILTER (value > 40) AS n FROM a GROUP BY
 SELECT station_id, max(n)::BIGINT AS longest FROM b GROUP BY station_id""",
 )
 def q_longest(spark, sf):
-    return T.longest_run(observations(spark, sf), c("value") > 40, W).select("station_id", c("longest").cast("long").alias("longest"))
+    return T.longest_run(observations(spark, sf), c("value") > 40, W()).select("station_id", c("longest").cast("long").alias("longest"))
 
 
 _UNIT = "CASE event_id % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'F' WHEN 2 THEN 'K' ELSE 'psi' END"

@@ -15,7 +15,7 @@ from .stand_ins import STATIONS_SQL as ST
 from .stand_ins import observations, stations, table
 
 c = F.col
-W = T.ordered()
+W = T.ordered
 CH = ["temperature", "pressure", "humidity"]
 
 
@@ -25,7 +25,7 @@ CH = ["temperature", "pressure", "humidity"]
 b AS (SELECT *, sum(ch) OVER (PARTITION BY station_id ORDER BY observed_at, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a) SELECT event_id, least(row_number() OVER (PARTITION BY station_id, run ORDER BY observed_at, event_id), 72)::INT AS run_length FROM b""",
 )
 def q_frozen(spark, sf):
-    return T.with_frozen(observations(spark, sf), "temperature", W).select("event_id", "run_length")
+    return T.with_frozen(observations(spark, sf), "temperature", W()).select("event_id", "run_length")
 
 
 @query(
@@ -34,7 +34,7 @@ def q_frozen(spark, sf):
 g AS (SELECT *, list_median(list_transform(hist, lambda x: abs(x - med))) AS mad FROM f) SELECT event_id, round(CASE WHEN len(hist) >= 24 AND humidity IS NOT NULL AND (mad > 1e-3 OR len(list_distinct(hist)) > 1) THEN 0.6745 * abs(humidity - med) / greatest(mad, 1.0) END, 6) AS z FROM g""",
 )
 def q_z(spark, sf):
-    return T.with_modified_z(observations(spark, sf), "humidity", W).select("event_id", F.round("z", 6).alias("z"))
+    return T.with_modified_z(observations(spark, sf), "humidity", W()).select("event_id", F.round("z", 6).alias("z"))
 
 
 _GATE = "CASE event_id % 3 WHEN 0 THEN 'MSL' WHEN 1 THEN 'SURFACE' END"
@@ -67,7 +67,7 @@ def q_forest(spark, sf):
 
 @query("MDL04_next_step_residual")
 def q_next_step(spark, sf):
-    out, _ = M.next_step_residuals(observations(spark, sf), "value", W)
+    out, _ = M.next_step_residuals(observations(spark, sf), "value", W())
     return out.select("event_id", F.round("residual", 6).alias("residual"))
 
 
@@ -86,7 +86,7 @@ def q_candidates(spark, sf):
 
 @query("MDL14_coverage", f"WITH {OBS} SELECT event_id, round(least(1.0, (row_number() OVER (PARTITION BY station_id ORDER BY observed_at, event_id)) / 72.0::DOUBLE), 6) AS temporal, round(((temperature IS NOT NULL)::INT + (pressure IS NOT NULL)::INT + (humidity IS NOT NULL)::INT) / 3.0::DOUBLE, 6) AS multivariate FROM obs")
 def q_coverage(spark, sf):
-    seen = F.least(F.lit(1.0), F.row_number().over(W) / 72.0)
+    seen = F.least(F.lit(1.0), F.row_number().over(W()) / 72.0)
     share = sum(c(x).isNotNull().cast("int") for x in CH) / 3.0
     return observations(spark, sf).select("event_id", F.round(seen, 6).alias("temporal"), F.round(share, 6).alias("multivariate"))
 
@@ -146,7 +146,7 @@ def q_season(spark, sf):
 
 @query("AGG18_leading_runs", f"WITH {OBS}, n AS (SELECT station_id, value > 30 AS hit, row_number() OVER (PARTITION BY station_id ORDER BY observed_at, event_id) AS i FROM obs), f AS (SELECT station_id, min(i) FILTER (NOT hit) AS stop, max(i) AS n FROM n GROUP BY 1) SELECT station_id, (coalesce(stop - 1, n))::INT AS leading FROM f")
 def q_leading(spark, sf):
-    n = observations(spark, sf).select("station_id", (c("value") > 30).alias("hit"), F.row_number().over(W).alias("i"))
+    n = observations(spark, sf).select("station_id", (c("value") > 30).alias("hit"), F.row_number().over(W()).alias("i"))
     return n.groupBy("station_id").agg(F.coalesce(F.min(F.when(~c("hit"), c("i"))) - 1, F.max("i")).alias("leading"))
 
 

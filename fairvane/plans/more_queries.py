@@ -18,7 +18,7 @@ from .stand_ins import STATIONS_SQL as ST
 from .stand_ins import observations, stations, table
 
 c = F.col
-W = T.ordered()
+W = T.ordered
 OW = "(PARTITION BY station_id ORDER BY observed_at, event_id)"
 
 
@@ -270,7 +270,7 @@ def q_residuals(spark, sf):
     f"WITH {OBS}, n AS (SELECT *, row_number() OVER {OW} AS i FROM obs), d AS (SELECT station_id, min(i) FILTER (i >= 10 AND value > 60) - 10 AS delay FROM n GROUP BY 1) SELECT round(median(delay), 4) AS median, round(quantile_cont(delay, 0.9), 4) AS p90, count(delay) AS detected FROM d",
 )
 def q_onset(spark, sf):
-    n = observations(spark, sf).withColumn("i", F.row_number().over(W))
+    n = observations(spark, sf).withColumn("i", F.row_number().over(W()))
     d = n.groupBy("station_id").agg((F.min(F.when((c("i") >= 10) & (c("value") > 60), c("i"))) - 10).alias("delay"))
     return d.agg(F.round(F.percentile("delay", F.lit(0.5)), 4).alias("median"), F.round(F.percentile("delay", F.lit(0.9)), 4).alias("p90"), F.count("delay").alias("detected"))
 
@@ -394,7 +394,7 @@ def q_periods(spark, sf):
     f"""WITH {OBS}, n AS (SELECT event_id, station_id, value, row_number() OVER {OW} AS i FROM obs) SELECT event_id, round(CASE WHEN i BETWEEN 20 AND 29 THEN CASE station_id % 4 WHEN 0 THEN value + 15 WHEN 1 THEN 25.0 WHEN 2 THEN value + (i - 20) * 0.4::DOUBLE ELSE NULL END ELSE value END, 6) AS value, i BETWEEN 20 AND 29 AS injected FROM n""",
 )
 def q_inject(spark, sf):
-    n = observations(spark, sf).withColumn("i", F.row_number().over(W))
+    n = observations(spark, sf).withColumn("i", F.row_number().over(W()))
     kind = c("station_id") % 4
     hit = c("i").between(20, 29)
     faulty = F.when(kind == 0, c("value") + 15).when(kind == 1, 25.0).when(kind == 2, c("value") + (c("i") - 20) * 0.4)
@@ -450,7 +450,7 @@ def q_gates(spark, sf):
 
 @query("EXT33_error_rate", f"WITH {OBS} SELECT event_id, round(sum(CASE WHEN value > 70 THEN 1 ELSE 0 END) OVER h / count(*) OVER h, 6) AS rate FROM obs WINDOW h AS (PARTITION BY station_id ORDER BY observed_at, event_id ROWS UNBOUNDED PRECEDING)")
 def q_errors(spark, sf):
-    h = W.rowsBetween(Window.unboundedPreceding, 0)
+    h = W().rowsBetween(Window.unboundedPreceding, 0)
     return observations(spark, sf).select("event_id", r6(F.sum(F.when(c("value") > 70, 1).otherwise(0)).over(h) / F.count("*").over(h)).alias("rate"))
 
 
@@ -463,7 +463,7 @@ def q_scaler(spark, sf):
 
 @query("MDL18_imputation", f"WITH {OBS}, p AS (SELECT *, avg(temperature) OVER (PARTITION BY station_id ORDER BY observed_at, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS recent FROM obs) SELECT event_id, temperature AS raw, round(coalesce(temperature, recent, 20.0), 6) AS estimate, CASE WHEN temperature IS NOT NULL THEN 'observed' WHEN recent IS NOT NULL THEN 'temporal' ELSE 'climatology' END AS basis FROM p")
 def q_impute(spark, sf):
-    recent = F.avg("temperature").over(W.rowsBetween(-6, -1))
+    recent = F.avg("temperature").over(W().rowsBetween(-6, -1))
     t = c("temperature")
     basis = F.when(t.isNotNull(), "observed").when(recent.isNotNull(), "temporal").otherwise("climatology")
     return observations(spark, sf).select("event_id", t.alias("raw"), r6(F.coalesce(t, recent, F.lit(20.0))).alias("estimate"), basis.alias("basis"))
