@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataF
 
 #: Independent samples of a text's shingles, and shingles in each.
 SAMPLES, SAMPLED = 10, 3
-#: Members of a bucket times those before it that each is paired with, at most.
+#: Members of a bucket times those before it that each is paired with at first, at most.
 BESIDE = 800
 _MIX = np.array([xxhash.xxh64_intdigest(f"sample{i}", SEED) | 1 for i in range(SAMPLES)], np.uint64)
 
@@ -351,16 +351,175 @@ def _sketches(width: int):
 def _neighbours_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In each bucket, pairs of each member with the first and with those just before it.
 
-    Small buckets give all their pairs.  Members are sorted by another sample, which
-    brings copies of one text together; the more members, the fewer are paired with
-    each, so the pairs grow with the members and not with their square.
+    Small buckets give all their pairs.  Members of larger ones are sorted by another
+    sample, which brings copies of one text together, and give only some pairs at first;
+    they also go on as (slot, key, member), for ``_rest_of_buckets`` to try all others.
     """
-    for _, _, _, node in _runs(batches, ["slot", "key", "beside", "node"], 2):
-        reach = max(2, min(len(node) - 1, BESIDE // len(node)))
-        a = [np.full(len(node) - 1, node[0]), *(node[:-d] for d in range(1, reach + 1) if d < len(node))]
-        b = [node[1:], *(node[d:] for d in range(1, reach + 1) if d < len(node))]
+    names = ["a", "b", "slot", "key"]
+    for slot, key, _, node in _runs(batches, ["slot", "key", "beside", "node"], 2):
+        n = len(node)
+        reach = max(2, min(n - 1, BESIDE // n))
+        a = [np.full(n - 1, node[0]), *(node[:-d] for d in range(1, reach + 1) if d < n)]
+        b = [node[1:], *(node[d:] for d in range(1, reach + 1) if d < n)]
         left, right = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.minimum(left, right)),
+                pa.array(np.maximum(left, right)),
+                pa.nulls(len(left), pa.int32()),
+                pa.nulls(len(left), pa.int64()),
+            ],
+            names=names,
+        )
+        if reach < n - 1:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.nulls(n, pa.int64()), pa.array(slot.astype(np.int32)), pa.array(key)], names=names
+            )
+
+
+def _blocks(comp: np.ndarray, size: np.ndarray, similarity: float, rows: int, hashes: int):
+    """Members of a bucket in blocks: (order, block of each in that order, pairs of blocks to compare).
+
+    A group that would fill a block of its own has blocks of its own, the other members
+    are mixed.  Each block holds at most ``rows`` members and about ``hashes`` shingles,
+    and members are sorted by their number of shingles.  Pairs of blocks are left out
+    only where no pair of members can matter: all belong to one group, or their numbers
+    of shingles are too far apart for the similarity.
+    """
+    names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    own = np.where(counts[inverse] >= rows, inverse, -1)
+    order = np.lexsort((size, own))
+    block, at, filled, weight = np.zeros(len(order), np.int32), -1, 0, 0
+    last = None
+    for i, k in enumerate(order.tolist()):
+        if own[k] != last or filled >= rows or weight + size[k] > hashes:
+            at, filled, weight, last = at + 1, 0, 0, own[k]
+        block[i] = at
+        filled, weight = filled + 1, weight + int(size[k])
+    starts = np.nonzero(np.diff(block, prepend=-1))[0]
+    ends = np.append(starts[1:], len(order))
+    least, most = size[order][starts], size[order][ends - 1]
+    kinds = comp[order]
+    low, high = np.minimum.reduceat(kinds, starts), np.maximum.reduceat(kinds, starts)
+    one = low == high
+    near = (similarity * least[None, :] <= most[:, None] + 1e-6) & (similarity * least[:, None] <= most[None, :] + 1e-6)
+    near &= ~(one[:, None] & one[None, :] & (low[:, None] == low[None, :]))
+    return order, block, near
+
+
+def _mixed_links(similarity: float):
+    """Links between members of different groups in each pair of blocks, from their shingle sets."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, p, q, part, comp, node, sets in _runs(
+            batches, ["slot", "key", "p", "q", "part", "comp", "node", "sets"], 4
+        ):
+            same = p[0] == q[0]
+            left = np.nonzero(part == p[0])[0]
+            right = left if same else np.nonzero(part == q[0])[0]
+            if not len(left) or not len(right):
+                continue
+            lengths = np.fromiter((len(x) for x in sets), np.int64, len(sets))
+            known, inverse = np.unique(np.concatenate(sets[right]), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(lengths[right])[:-1]])
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    parent[x] = parent.get(parent[x], parent[x])
+                    x = parent[x]
+                return x
+
+            edges = []
+            for i, k in enumerate(left.tolist()):
+                at = np.minimum(np.searchsorted(known, sets[k]), len(known) - 1)
+                held = np.zeros(len(known), np.int64)
+                held[at[known[at] == sets[k]]] = 1
+                common = np.add.reduceat(held[inverse], starts)
+                linked = common + 1e-9 >= similarity * (lengths[k] + lengths[right] - common)
+                linked &= comp[right] != comp[k]
+                if same:
+                    linked[: i + 1] = False
+                for j in right[linked].tolist():
+                    x, y = root(int(comp[k])), root(int(comp[j]))
+                    if x != y:
+                        parent[y] = x
+                        edges.append((int(min(node[k], node[j])), int(max(node[k], node[j]))))
+            yield _edge_batch(edges)
+
+    return compare
+
+
+#: Members, and shingles, of a block of the exact comparison of large buckets.
+BLOCK_ROWS, BLOCK_HASHES = 512, 200_000
+
+
+def _rest_of_buckets(
+    crowded: DataFrame, groups: DataFrame, docs: DataFrame, width: int, similarity: float,
+    rows: int = BLOCK_ROWS, hashes: int = BLOCK_HASHES,
+) -> DataFrame | None:
+    """Verified links (a, b) that join groups whose members share a large bucket; None if no bucket has two groups.
+
+    ``groups`` holds what the pairs tried so far have linked, so members of one group
+    need not meet again.  All others of a bucket do, block by block, on whole shingle sets.
+    """
+    members = stored(
+        crowded.join(groups, "node", "left").select("slot", "key", "node", F.coalesce("root", "node").alias("comp")), "crowded"
+    )
+    several = members.groupBy("slot", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    members = stored(members.join(several.select("slot", "key"), ["slot", "key"], "left_semi"), "crowded")
+    if members.isEmpty():
+        return None
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                sets = [shingles(t.as_py(), width).view(np.int64) for t in piece.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column("node"),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array(sets, pa.list_(pa.int64())),
+                    ],
+                    names=["node", "size", "sets"],
+                )
+
+    texts = docs.select(F.col("doc_id").alias("node"), whole_text().alias("text"))
+    texts = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = stored(texts.mapInArrow(hashed, "node long, size long, sets array<long>"), "crowded-sets")
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, key, comp, node, size in _runs(batches, ["slot", "key", "comp", "node", "size"], 2):
+            order, block, near = _blocks(comp, size, similarity, rows, hashes)
+            partners = [np.nonzero(x)[0].astype(np.int32) for x in near]
+            for at in range(0, len(order), 1000):
+                k, b = order[at : at + 1000], block[at : at + 1000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(slot[k].astype(np.int32)),
+                        pa.array(key[k]),
+                        pa.array(comp[k]),
+                        pa.array(node[k]),
+                        pa.array(b),
+                        pa.array([partners[x] for x in b.tolist()], pa.list_(pa.int32())),
+                    ],
+                    names=["slot", "key", "comp", "node", "part", "others"],
+                )
+
+    sized = members.join(sets.select("node", "size"), "node").select("slot", "key", "comp", "node", "size")
+    sized = sized.repartition(partitions, "slot", "key").sortWithinPartitions("slot", "key", "node")
+    plan = stored(
+        sized.mapInArrow(planned, "slot int, key long, comp long, node long, part int, others array<int>"), "crowded-plan"
+    )
+    pairs = plan.repartition(partitions, "node").select("slot", "key", "comp", "node", "part", F.explode("others").alias("other"))
+    pairs = pairs.select(
+        "slot", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "comp", "node"
+    )
+    both = pairs.join(sets.select("node", "sets"), "node").select("slot", "key", "p", "q", "part", "comp", "node", "sets")
+    both = both.repartition(partitions, "slot", "key", "p", "q").sortWithinPartitions("slot", "key", "p", "q", "node")
+    return stored(both.mapInArrow(_mixed_links(similarity), "a long, b long"), "crowded-links")
 
 
 def _similar(width: int, similarity: float):
@@ -392,7 +551,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     similarity of 0.8 about ten of 64 bits differ.  So besides the deletion-variant index
     of that fingerprint, SimHashes of ten min-wise samples of three shingles are indexed
     by equality: copies at 0.8 share at least one with a chance over 0.99.  Every
-    candidate pair is verified on the whole shingle sets of both texts.
+    candidate pair is verified on the whole shingle sets of both texts.  Pairs of a large
+    bucket are tried in two rounds: first some that link most copies, then all pairs
+    between the groups that are left.  Groups come from verified links only.
     """
     sketches = stored(docs.select("doc_id", whole_text().alias("text")).mapInArrow(
         _sketches(width), f"doc_id {dict(docs.dtypes)['doc_id']}, wording binary, fp long, tables array<long>"
@@ -400,15 +561,21 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     texts = sketches.groupBy("wording").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("tables").alias("tables"))
     texts = stored(texts.where("node is not null"), "wordings")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_print = texts.groupBy("fp").agg(F.min("node").alias("first"))
-    close = links(by_print.select("fp", F.col("first").alias("node")), max_bits)
-    same_print = texts.join(by_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    # Texts of one group of near fingerprints are a bucket: links() gives only its spanning forest.
+    by_print = texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    near_prints = components(links(by_print.select("fp", F.col("first").alias("node")), max_bits))
+    of_print = by_print.join(near_prints.withColumnRenamed("node", "first"), "first", "left").where("root is not null or n > 1")
+    by_group = texts.join(of_print.select("fp", F.coalesce("root", "first").alias("key")), "fp").select(
+        F.lit(SAMPLES).alias("slot"), "key", F.element_at("tables", -1).alias("beside"), "node"
+    )
     keyed = texts.select(
         F.posexplode("tables").alias("slot", "key"), F.element_at("tables", -1).alias("last"), F.get("tables", F.lit(0)).alias("start"), "node"
     ).select("slot", "key", F.when(F.col("slot") == SAMPLES - 1, F.col("start")).otherwise(F.col("last")).alias("beside"), "node")
+    keyed = keyed.unionByName(by_group)
     dealt = keyed.repartition(partitions, "slot", "key").sortWithinPartitions("slot", "key", "beside", "node")
-    sampled = dealt.mapInArrow(_neighbours_in_buckets, "a long, b long")
-    pairs = stored(close.unionByName(same_print).unionByName(sampled).where("a < b").distinct(), "near-pairs")
+    found = stored(dealt.mapInArrow(_neighbours_in_buckets, "a long, b long, slot int, key long"), "near-found")
+    pairs = stored(found.where("slot is null and a < b").select("a", "b").distinct(), "near-pairs")
+    crowded = found.where("slot is not null").select("slot", "key", F.col("a").alias("node"))
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # Only texts that are in a pair, one row for each document.
     wanted = docs.select(F.col("doc_id").alias("node"), whole_text().alias("text")).join(met, "node", "left_semi")
@@ -419,6 +586,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
         .select("a", "b", "ta", "tb")
     )
     groups = components(both.mapInArrow(_similar(width, similarity), "a long, b long"))
+    more = _rest_of_buckets(crowded, groups, docs, width, similarity)
+    if more is not None:
+        groups = components(more.unionByName(groups.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     named = texts.join(groups, "node", "left").select("wording", F.coalesce("root", "node").alias("component_id"))
     return sketches.join(named, "wording", "left").select("doc_id", "component_id")
 

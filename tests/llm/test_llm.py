@@ -222,6 +222,60 @@ def test_deduplicate_keeps_one_of_each(spark, docs):
     assert None in kept
 
 
+def brute_force_groups(texts, similarity=0.8):
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+            x, y = sorted((root(i), root(j)))
+            parent[y] = x
+    return {i: root(i) for i in range(len(texts))}
+
+
+def crowd():
+    """Texts that share most of their shingles: far too similar for the samples, few of them copies."""
+    r = random.Random(9)
+    shared = [f"common{i}" for i in range(90)]
+    own = [[f"own{i}x{k}" for k in range(30)] for i in range(500)]
+    texts = [" ".join(shared + x) for x in own]
+    for i in range(0, 500, 5):  # a copy far from its original in the order of ids, with an end of its own
+        texts.append(" ".join(shared + own[i][: r.randint(24, 29)] + [f"end{i}"]))
+    return texts
+
+
+@pytest.mark.parametrize("rows", [simhash.BLOCK_ROWS, 40])
+def test_large_buckets_are_tried_whole(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash._rest_of_buckets, "__defaults__", (rows, 6000 if rows == 40 else simhash.BLOCK_HASHES))
+    texts = crowd()
+    # All texts land in the same bucket of every sample.
+    monkeypatch.setattr(simhash, "sampled_fingerprints", lambda hashes: [1] * (simhash.SAMPLES - 1) + [int(hashes[0] >> np.uint64(1))])
+    order = list(range(len(texts)))
+    random.Random(3).shuffle(order)
+    frame = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    want = brute_force_groups([texts[k] for k in order])
+    assert len(set(want.values())) == 500
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame).collect()}
+    assert got == want
+
+
+def test_near_prints_are_paired_before_they_are_verified(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(4)]
+    texts += [texts[1] + " more", texts[3] + " more"]
+    # One fingerprint for all, so that the first text stands for the others; the samples find nothing.
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, width=3: 7)
+    monkeypatch.setattr(simhash, "sampled_fingerprints", lambda hashes: [int(h >> np.uint64(1)) for h in hashes[: simhash.SAMPLES]])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1, 5: 3}
+
+
 # ---- quality
 
 
