@@ -11,8 +11,8 @@ and from their lookalikes (digests, identifiers, paths, versions, addresses), or
 table of the caller's with the columns text, path and label.
 
 Defined results: a null or empty text has no candidates; a null path counts as empty; a
-value that occurs several times in a text is one finding, placed at its first
-occurrence; repeated rows are kept; an empty table gives an empty result; other columns
+value that occurs several times in a text is one finding, with the highest score of its
+occurrences and at the first that has it, and is redacted everywhere; repeated rows are kept; an empty table gives an empty result; other columns
 are ignored (``scan``) or kept (``redact``).
 """
 
@@ -23,12 +23,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, whole_text
+from .common import stored, whole_text
 
 TOKEN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{14,}+={0,2}"
 ASSIGNED = (
     r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-    r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})"
+    r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})"
 )
 SECRET_WORDS = "^(.*(pass(word|wd|phrase)?|pwd|secret|token|key|auth|credential|bearer|aws|login).*)$"
 HARMLESS_WORDS = "^(commit|sha|sha1|sha256|md5|hash|checksum|digest|revision|rev|etag|uuid|guid|id|version|file|path|see|url|build|card|phone|ip|host)$"
@@ -53,18 +53,38 @@ FEATURES = [
 ]
 
 
-def candidates(text: Column) -> Column:
-    """Distinct candidate values of a text, as an array."""
-    found = F.array_union(
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1))
+def _located(text: Column, pattern: str, group: int) -> Column:
+    """All matches of ``pattern`` as structs of value (the group, which ends its match) and at (from 1)."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    steps = F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.length(gap) + F.coalesce(F.length(m), F.lit(0)))
+    # The last element after each match is the number of characters before its end.
+    ends = F.aggregate(
+        steps, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))
     )
-    trimmed = F.transform(found, lambda c: F.regexp_replace(c, r"^[.\-/]+|[.\-/]+$", ""))
-    return F.array_distinct(F.filter(trimmed, lambda c: F.length(c) >= 6))
+    return F.zip_with(
+        values,
+        F.slice(ends, F.lit(2), F.size(values)),
+        lambda v, end: F.struct(v.alias("value"), (end - F.length(v) + 1).alias("at")),
+    )
+
+
+def occurrences(text: Column) -> Column:
+    """Every place of a candidate value in a text, as an array of structs of value and at."""
+    found = F.concat(_located(text, TOKEN, 0), _located(text, ASSIGNED, 1))
+    trimmed = F.transform(
+        found,
+        lambda c: F.struct(
+            F.regexp_replace(c.getField("value"), r"^[.\-/]+|[.\-/]+$", "").alias("value"),
+            (c.getField("at") + F.length(F.regexp_extract(c.getField("value"), r"^[.\-/]*", 0))).alias("at"),
+        ),
+    )
+    return F.array_distinct(F.filter(trimmed, lambda c: F.length(c.getField("value")) >= 6))
 
 
-def described(candidate: Column, text: Column, path: Column, dictionary: list[str]) -> Column:
+def described(occurrence: Column, text: Column, path: Column, dictionary: list[str]) -> Column:
     """A struct of the candidate's value, place and features."""
-    at = F.position(candidate, text)
+    candidate, at = occurrence.getField("value"), occurrence.getField("at")
     before = F.substring(text, F.greatest(at - 48, F.lit(1)), F.least(at - 1, F.lit(48)))
     after = F.substring(text, at + F.length(candidate), F.lit(32))
     size = F.length(candidate)
@@ -106,16 +126,15 @@ def described(candidate: Column, text: Column, path: Column, dictionary: list[st
 
 def with_candidates(docs: DataFrame, dictionary: list[str]) -> DataFrame:
     """``docs`` (text, path) with ``found``, an array of described candidates."""
-    first = docs.withColumn("values", candidates(F.col("text")))
+    first = docs.withColumn("values", occurrences(F.col("text")))
     return first.withColumn(
         "found", F.transform("values", lambda c: described(c, F.col("text"), F.col("path"), dictionary))
     ).drop("values")
 
 
-def common_words(docs: DataFrame, max_docs: int = 2000, size: int = 1000) -> list[str]:
-    """The most frequent words of at least three letters in a bounded sample of texts."""
-    sample = hash_sample(docs.select(whole_text().alias("text")), "text", max_docs)
-    words = sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
+def common_words(docs: DataFrame, size: int = 1000) -> list[str]:
+    """The most frequent words of at least three letters in all texts."""
+    words = docs.select(F.explode(F.split(F.lower(whole_text()), "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
     return sorted({r["word"] for r in top.collect()} | set(PLAIN_WORDS))
 
@@ -224,7 +243,7 @@ class SecretScanner:
         spark = docs.sparkSession
         dictionary = common_words(docs)
         findings = labelled_findings(spark) if findings is None else findings
-        rows = with_candidates(findings, dictionary).select("label", F.inline("found"))
+        rows = stored(with_candidates(findings, dictionary).select("label", F.inline("found")), "findings")
         table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.repartition(4, "value"))
         forest = RandomForestClassifier(
             featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt"
@@ -234,7 +253,7 @@ class SecretScanner:
     def scanned(self, docs: DataFrame, path: Column) -> DataFrame:
         """``docs`` with ``__secrets``: structs of value, at (from 1) and score, and ``__candidates``, a count."""
         prepared = docs.select("*", whole_text().alias("__text"), F.coalesce(path.cast("string"), F.lit("")).alias("__path"))
-        first = prepared.withColumn("__values", candidates(F.col("__text")))
+        first = prepared.withColumn("__values", occurrences(F.col("__text")))
         scored = first.withColumn(
             "__scored",
             F.transform(
@@ -246,8 +265,30 @@ class SecretScanner:
                 ),
             ),
         )
-        chosen = F.filter("__scored", lambda s: s.getField("score") >= self.threshold)
-        return scored.select(*docs.columns, F.size("__values").alias("__candidates"), chosen.alias("__secrets"))
+        # The most secret place of each value first: array_sort puts equal values beside each other.
+        chosen = F.array_sort(
+            F.transform(
+                F.filter("__scored", lambda s: s.getField("score") >= self.threshold),
+                lambda s: F.struct(s.getField("value").alias("value"), (-s.getField("score")).alias("score"), s.getField("at").alias("at")),
+            )
+        )
+        rows = scored.withColumn("__chosen", chosen)
+        best = F.filter(
+            F.transform(
+                "__chosen",
+                lambda s, i: F.struct(
+                    s.getField("value").alias("value"),
+                    s.getField("at").alias("at"),
+                    (-s.getField("score")).alias("score"),
+                    ((i > 0) & (F.get("__chosen", i - 1).getField("value") == s.getField("value"))).alias("again"),
+                ),
+            ),
+            lambda s: ~s.getField("again"),
+        )
+        best = F.array_sort(F.transform(best, lambda s: F.struct(s.getField("at").alias("at"), s.getField("value").alias("value"), s.getField("score").alias("score"))))
+        secrets = F.transform(best, lambda s: F.struct(s.getField("value").alias("value"), s.getField("at").alias("at"), s.getField("score").alias("score")))
+        different = F.size(F.array_distinct(F.transform("__values", lambda c: c.getField("value"))))
+        return rows.select(*docs.columns, different.alias("__candidates"), secrets.alias("__secrets"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:

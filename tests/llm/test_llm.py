@@ -469,6 +469,29 @@ def test_secrets(spark, docs, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_secrets_are_judged_at_every_place(spark, docs):
+    key = hashlib.sha1(b"a key").hexdigest()
+    tail = "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(4))
+    long = "pw!" + tail[:80] + "#" + tail[80:150] + "!" + tail[150:]
+    texts = [f"é commit {key} then password={key} end", f"commit {key} ok", f"see x{key}y and password={key}", f"password={long} end"]
+    frame = spark.createDataFrame([(i, t, "fr", "src/app.env", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    scanner = secret_scan.SecretScanner.train(docs)
+    found = {r.doc_id: {s.value: s.at for s in r["__secrets"]} for r in scanner.scanned(frame, F.col("source")).collect()}
+    assert found[0] == {key: texts[0].rindex(key) + 1} and found[1] == {}
+    assert found[2][key] == texts[2].rindex(key) + 1
+    assert found[3][long] == texts[3].index(long) + 1
+    places = frame.select(F.explode(secret_scan.occurrences(F.col("text"))).alias("o"), "text").select("o.*", "text").collect()
+    assert len(places) >= 6 and all(r.text[r["at"] - 1 :].startswith(r["value"]) for r in places)
+    out = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    assert out[0] == "é commit [SECRET] then password=[SECRET] end" and out[3] == "password=[SECRET] end"
+
+
+def test_secret_dictionary_counts_all_texts(spark):
+    many = spark.range(20000).select(F.format_string("%d zebra", "id").alias("text"))
+    one = spark.createDataFrame([("quagga " * 30000,)], "text string")
+    assert "quagga" in secret_scan.common_words(many.unionByName(one), size=1)
+
+
 def test_licences(spark, docs):
     files = spark.createDataFrame(
         [
