@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +14,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset and all
+    tasks run on this machine (a local master), a temporary folder takes its place.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     own = spark.conf.get("fairvane.local.checkpoint.dir", None)
     if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="fairvane-")
         spark.conf.set("fairvane.local.checkpoint.dir", own)
     return own
@@ -47,15 +51,25 @@ def id_remainder(modulus: int, name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sample_share(spark_count: int, bound: int) -> float:
-    """Share of rows that keeps about ``bound`` of ``spark_count`` rows."""
-    return 1.0 if spark_count <= bound else bound / spark_count
+def as_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that an operator's own columns clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def hash_sample(df: DataFrame, column: str, bound: int, salt: int = 0) -> DataFrame:
-    """About ``bound`` rows, chosen by a hash of ``column``: the same rows in every run."""
-    share = sample_share(df.count(), bound)
-    if share >= 1.0:
-        return df
-    slots = 1 << 30
-    return df.where(F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(slots)) < int(share * slots))
+def row_columns(docs: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of ``docs`` out of the struct that ``as_row`` made."""
+    return [F.col(row).getField(c).alias(c) for c in docs.columns]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    Filters and projections inline columns where they use them; an inlined chain of
+    columns that each use the last one several times would grow without bound.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def constants(values: list, kind: str) -> Column:
+    """A constant array as one literal, however long (made from its text when the plan is optimised)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")

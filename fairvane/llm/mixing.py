@@ -22,30 +22,21 @@ documents every posterior is uniform; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import as_row, let, row_columns, stored, whole_text
 
 SYMBOLS = "!#$%&*+/<=>@^_`{|}~"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Residuals, as shares of the larger of target and natural share, that count as met.
+TOLERANCE = 1e-4
 #: Posteriors are rounded to this many steps.
 GRID = 200
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it.
-
-    Filters and projections inline columns where they use them; an inlined chain of
-    columns that each use the last one several times would grow without bound.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), "\n\t\r", "   "), " "), lambda w: w != "")
 
@@ -122,7 +113,8 @@ class DomainClassifier:
         return out
 
     def described(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``__n_tokens`` and ``__posterior``, the rounded probabilities in steps."""
+        """``row``, a struct of all columns of ``docs``, with ``n_tokens`` and ``posterior``, the
+        rounded probabilities in steps."""
         size = len(self.domains)
         if not self.weights:
             even = F.array(*[F.lit(GRID // size) for _ in self.domains])
@@ -132,8 +124,8 @@ class DomainClassifier:
                 whole_text(),
                 lambda text: let(words_of(text), lambda words: self._posterior(*_numbers(text, words, self.lists))),
             )
-        return docs.withColumn("__found", found).select(
-            *docs.columns, F.col("__found.n").alias("__n_tokens"), F.col("__found.p").alias("__posterior")
+        return docs.select(as_row(docs).alias("row"), found.alias("found")).select(
+            "row", F.col("found.n").alias("n_tokens"), F.col("found.p").alias("posterior")
         )
 
     def _posterior(self, numbers: list[Column], tokens: Column) -> Column:
@@ -188,14 +180,16 @@ def rate_of(posterior: Column, steps: list[list[float]], ridge: float, max_rate:
 
 
 def fit_rates(
-    described: DataFrame, domains: list[str], weights: dict[str, float], max_rate: float, ridge: float = 1e-3, rounds: int = 30
+    described: DataFrame, domains: list[str], weights: dict[str, float], max_rate: float, ridge: float = 1e-3, rounds: int = 60
 ) -> list[list[float]]:
     """Scaled residuals of each projected-gradient step.
 
-    ``described`` has __n_tokens and __posterior.  The sums by posterior are few: at most the
-    ways to share GRID steps among the domains, whatever the number of documents.
+    ``described`` has n_tokens and posterior.  Each step is one aggregation over the sums by
+    posterior, of which there are at most as many as documents and as ways to share GRID
+    steps among the domains.  Steps end when no residual is over ``TOLERANCE`` or when a
+    step no longer lessens the largest (what the ridge and the bounds leave).
     """
-    cells = stored(described.groupBy(F.col("__posterior").alias("posterior")).agg(F.sum("__n_tokens").cast("double").alias("tokens")), "mixing-cells")
+    cells = stored(described.groupBy("posterior").agg(F.sum("n_tokens").cast("double").alias("tokens")), "mixing-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     if not total:
         return []
@@ -213,16 +207,16 @@ def fit_rates(
     now = natural
     for _ in range(rounds):
         residual = [(a - t) / s for a, t, s in zip(now, target, scale)]
-        if max(map(abs, residual)) < 1e-4:
+        if max(map(abs, residual)) < TOLERANCE or steps and sum(abs(x - y) for x, y in zip(residual, steps[-1])) < TOLERANCE / 100:
             break
         steps.append(residual)
         now = achieved(rate_of(F.col("posterior"), steps, ridge, max_rate))
     return steps
 
 
-def _copies(rate: Column, docs: DataFrame) -> Column:
-    """Whole copies with the rate as their mean: the rate plus a hash of the row, floored."""
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _copies(rate: Column, doc_id: Column) -> Column:
+    """Whole copies with the rate as their mean: the rate plus a hash of the row's id, floored."""
+    draw = F.pmod(F.xxhash64(doc_id, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(rate + draw).cast("long")
 
 
@@ -233,27 +227,50 @@ WEIGHTS = {"plain": 0.9, "toxic": 0.06, "junk": 0.04}
 def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], max_rate: float = 4.0) -> DataFrame:
     """doc_id, n_tokens, a posterior for each domain, rate and copies of every document."""
     model = DomainClassifier.train(docs, labelled)
-    described = stored(model.described(docs.select("doc_id", "text")).drop("text"), "mixing-posteriors")
+    described = stored(model.described(docs.select("doc_id", "text")).select("row.doc_id", "n_tokens", "posterior"), "mixing-posteriors")
     steps = fit_rates(described, model.domains, weights, max_rate)
-    p = _shares(F.col("__posterior"))
-    rated = described.withColumn("rate", rate_of(F.col("__posterior"), steps, 1e-3, max_rate))
+    p = _shares(F.col("posterior"))
+    rated = described.withColumn("rate", rate_of(F.col("posterior"), steps, 1e-3, max_rate))
     return rated.select(
         "doc_id",
-        F.col("__n_tokens").alias("n_tokens"),
+        "n_tokens",
         *[F.get(p, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)],
         "rate",
-        _copies(F.col("rate"), docs).alias("copies"),
+        _copies(F.col("rate"), F.col("doc_id")).alias("copies"),
     )
 
 
+def achieved_shares(rated: DataFrame) -> DataFrame:
+    """domain, natural_share and achieved_share of the expected tokens, from ``mixture``'s rows."""
+    domains = [c[2:] for c in rated.columns if c.startswith("p_")]
+    sums = rated.agg(
+        F.sum("n_tokens").alias("before"),
+        F.sum(F.col("n_tokens") * F.col("rate")).alias("after"),
+        *[F.sum(F.col("n_tokens") * F.col(f"`p_{d}`")).alias(f"n{i}") for i, d in enumerate(domains)],
+        *[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"`p_{d}`")).alias(f"a{i}") for i, d in enumerate(domains)],
+    )
+    each = [
+        F.struct(
+            F.lit(d).alias("domain"),
+            F.try_divide(F.col(f"n{i}"), F.col("before")).alias("natural_share"),
+            F.try_divide(F.col(f"a{i}"), F.col("after")).alias("achieved_share"),
+        )
+        for i, d in enumerate(domains)
+    ]
+    return sums.select(F.inline(F.array(*each)))
+
+
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], max_rate: float = 1.0) -> DataFrame:
-    """``docs`` drawn to the mixture: each row as often as its copies say."""
+    """``docs`` drawn to the mixture: each row as often as its copies say.
+
+    Nulls, empty texts, repeats and an empty table are as the module says; rows without an
+    id are drawn alike.  All columns of ``docs`` are kept, whatever their names.
+    """
     model = DomainClassifier.train(docs, labelled)
-    described = model.described(docs)
-    narrow = stored(described.select("__n_tokens", "__posterior"), "mixing-posteriors")
-    steps = fit_rates(narrow, model.domains, weights, max_rate)
-    drawn = described.withColumn("__copies", _copies(rate_of(F.col("__posterior"), steps, 1e-3, max_rate), docs))
-    if max_rate <= 1:
-        return drawn.where("__copies >= 1").select(*docs.columns)
-    repeated = drawn.where("__copies >= 1").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    described = stored(model.described(docs), "mixing-described")
+    steps = fit_rates(described.select("n_tokens", "posterior"), model.domains, weights, max_rate)
+    copies = _copies(rate_of(F.col("posterior"), steps, 1e-3, max_rate), F.col("row.doc_id"))
+    drawn = described.select("row", copies.alias("copies")).where("copies >= 1")
+    if max_rate > 1:
+        drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return drawn.select(*row_columns(docs))

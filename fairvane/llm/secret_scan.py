@@ -1,19 +1,22 @@
 """Secret scans: wide candidate patterns, judged by a random forest, all in SQL expressions.
 
-Candidates are long tokens with digits and values assigned to secret-sounding names.
-Their features are length, character transitions, dictionary coverage, the path and the
-neighbouring words.  A random forest trained from labelled findings (a bounded table)
-removes false positives; its trees become nested CASE expressions, so scoring is a
-projection of the scan: no shuffle, no Python.
+Candidates are long tokens with digits, values assigned to secret-sounding names and
+private key blocks over several lines.  Their features are length, character transitions,
+dictionary coverage, the path and the neighbouring words.  A random forest trained from
+labelled findings (a bounded table) removes false positives; its trees are one constant
+array that every candidate walks, so scoring is a projection of the scan: no shuffle, no
+Python.
 
 Findings are labelled by ``labelled_findings``, generated from known credential formats
 and from their lookalikes (digests, identifiers, paths, versions, addresses), or by a
 table of the caller's with the columns text, path and label.
 
-Defined results: a null or empty text has no candidates; a null path counts as empty; a
-value that occurs several times in a text is one finding, with the highest score of its
-occurrences and at the first that has it, and is redacted everywhere; repeated rows are kept; an empty table gives an empty result; other columns
-are ignored (``scan``) or kept (``redact``).
+Defined results: a null or empty text has no candidates; a null path counts as empty;
+every place of a value is judged in its own context, and a value that is a secret at one
+place is one at all its places, also where the context alone would not say so; places
+that overlap are redacted as one; a value within a longer word is no place of it; values
+have no largest length; repeated rows are kept; an empty table gives an empty result;
+other columns are ignored (``scan``) or kept (``redact``), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +26,19 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import as_row, constants, let, row_columns, stored, whole_text
 
 TOKEN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{14,}+={0,2}"
-ASSIGNED = (
-    r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-    r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})"
+_NAMES = r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+ASSIGNED = _NAMES + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})"
+QUOTED = _NAMES + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']([^\"'\n]{6,})"
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[\sA-Za-z0-9+/=:,.-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|[\sA-Za-z0-9+/=]*)"
 )
 SECRET_WORDS = "^(.*(pass(word|wd|phrase)?|pwd|secret|token|key|auth|credential|bearer|aws|login).*)$"
 HARMLESS_WORDS = "^(commit|sha|sha1|sha256|md5|hash|checksum|digest|revision|rev|etag|uuid|guid|id|version|file|path|see|url|build|card|phone|ip|host)$"
-KNOWN_PREFIX = "^(AKIA|ASIA|ghp_|gho_|sk[-_]|pk[-_]|xox[bap]-|eyJ|AIza|glpat-)"
+KNOWN_PREFIX = "^(-----BEGIN|AKIA|ASIA|ghp_|gho_|sk[-_]|pk[-_]|xox[bap]-|eyJ|AIza|glpat-)"
 FEATURES = [
     "n_length",
     "n_transitions",
@@ -71,7 +77,7 @@ def _located(text: Column, pattern: str, group: int) -> Column:
 
 def occurrences(text: Column) -> Column:
     """Every place of a candidate value in a text, as an array of structs of value and at."""
-    found = F.concat(_located(text, TOKEN, 0), _located(text, ASSIGNED, 1))
+    found = F.concat(_located(text, TOKEN, 0), _located(text, ASSIGNED, 1), _located(text, QUOTED, 1))
     trimmed = F.transform(
         found,
         lambda c: F.struct(
@@ -79,7 +85,8 @@ def occurrences(text: Column) -> Column:
             (c.getField("at") + F.length(F.regexp_extract(c.getField("value"), r"^[.\-/]*", 0))).alias("at"),
         ),
     )
-    return F.array_distinct(F.filter(trimmed, lambda c: F.length(c.getField("value")) >= 6))
+    long_enough = F.filter(trimmed, lambda c: F.length(c.getField("value")) >= 6)
+    return F.array_distinct(F.concat(long_enough, _located(text, KEY_BLOCK, 0)))
 
 
 def described(occurrence: Column, text: Column, path: Column, dictionary: list[str]) -> Column:
@@ -180,6 +187,7 @@ def labelled_findings(spark: SparkSession, rows: int = 7200) -> DataFrame:
         F.concat(prose, F.lit(" sk-"), F.substring(mixed, 1, 40), tail),
         F.concat(prose, F.lit(" eyJ"), F.substring(mixed, 1, 30), F.lit("."), F.substring(mixed, 4, 36), tail),
         F.concat(prose, F.lit(" "), F.substring(base64, 1, 40), tail),
+        F.concat(prose, F.lit("\n-----BEGIN RSA PRIVATE KEY-----\n"), base64, F.lit("\n-----END RSA PRIVATE KEY-----\n"), tail),
     ]
     two = F.pmod(F.xxhash64(n, F.lit(7)), F.lit(90)) + 10
     lookalikes = [
@@ -215,28 +223,65 @@ def labelled_findings(spark: SparkSession, rows: int = 7200) -> DataFrame:
     )
 
 
-def _forest_expression(model, score_of: Column) -> Column:
-    """The share of trees that call a described candidate a secret."""
+class Forest:
+    """A trained forest as two arrays: trees one after the other, each laid out as a heap.
 
-    def tree(node) -> Column:
-        if node.getClass().getSimpleName() == "LeafNode":
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        value = score_of.getField(FEATURES[split.featureIndex()])
-        return F.when(value <= F.lit(float(split.threshold())), tree(node.leftChild())).otherwise(tree(node.rightChild()))
+    ``feature`` is the feature a node splits by, or -1 at a leaf; ``number`` is the
+    node's threshold, or the leaf's vote.
+    """
 
-    votes = [tree(t._java_obj.rootNode()) for t in model.trees]
-    total = votes[0]
-    for v in votes[1:]:
-        total = total + v
-    return total / len(votes)
+    def __init__(self, model, depth: int):
+        self.depth, self.size, self.trees = depth, 2 ** (depth + 1) - 1, len(model.trees)
+        self.feature, self.number = [-1] * self.trees * self.size, [0.0] * self.trees * self.size
+
+        def place(node, tree: int, at: int) -> None:
+            i = tree * self.size + at
+            if node.getClass().getSimpleName() == "LeafNode":
+                self.number[i] = float(node.prediction())
+                return
+            split = node.split()
+            self.feature[i], self.number[i] = split.featureIndex(), float(split.threshold())
+            place(node.leftChild(), tree, 2 * at + 1)
+            place(node.rightChild(), tree, 2 * at + 2)
+
+        for tree, t in enumerate(model.trees):
+            place(t._java_obj.rootNode(), tree, 0)
+
+    def vote(self, numbers: list[float]) -> float:
+        """The share of trees that say secret, for one candidate in plain Python."""
+        total = 0.0
+        for tree in range(self.trees):
+            base, at = tree * self.size, 0
+            while self.feature[base + at] >= 0:
+                at = 2 * at + 1 + (numbers[self.feature[base + at]] > self.number[base + at])
+            total += self.number[base + at]
+        return total / self.trees
+
+    def score(self, described_one: Column) -> Column:
+        """The same share for a described candidate, as an expression."""
+        feature, number = constants(self.feature, "int"), constants(self.number, "double")
+
+        def walked(x: Column, base: Column) -> Column:
+            def step(at: Column, _: Column) -> Column:
+                split = F.get(feature, base + at)
+                right = F.get(x, split) > F.get(number, base + at)
+                return F.when(split < 0, at).otherwise(2 * at + 1 + right.cast("int"))
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(0), step)
+
+        def votes(x: Column) -> Column:
+            trees = F.sequence(F.lit(0), F.lit(self.trees - 1))
+            total = F.aggregate(trees, F.lit(0.0), lambda s, t: s + F.get(number, t * self.size + walked(x, t * self.size)))
+            return total / self.trees
+
+        return let(F.array(*[described_one.getField(n) for n in FEATURES]), votes)
 
 
 class SecretScanner:
     """A trained forest and the dictionary its features use."""
 
-    def __init__(self, dictionary: list[str], model, threshold: float = 0.6):
-        self.dictionary, self.model, self.threshold = dictionary, model, threshold
+    def __init__(self, dictionary: list[str], forest: Forest, threshold: float = 0.6):
+        self.dictionary, self.forest, self.threshold = dictionary, forest, threshold
 
     @classmethod
     def train(cls, docs: DataFrame, findings: DataFrame | None = None, trees: int = 20, depth: int = 6) -> SecretScanner:
@@ -244,78 +289,94 @@ class SecretScanner:
         dictionary = common_words(docs)
         findings = labelled_findings(spark) if findings is None else findings
         rows = stored(with_candidates(findings, dictionary).select("label", F.inline("found")), "findings")
-        table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.repartition(4, "value"))
+        table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
         forest = RandomForestClassifier(
             featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt"
         )
-        return cls(dictionary, forest.fit(table.select("label", "features")))
+        return cls(dictionary, Forest(forest.fit(table.select("label", "features")), depth))
 
-    def scanned(self, docs: DataFrame, path: Column) -> DataFrame:
-        """``docs`` with ``__secrets``: structs of value, at (from 1) and score, and ``__candidates``, a count."""
-        prepared = docs.select("*", whole_text().alias("__text"), F.coalesce(path.cast("string"), F.lit("")).alias("__path"))
-        first = prepared.withColumn("__values", occurrences(F.col("__text")))
-        scored = first.withColumn(
-            "__scored",
-            F.transform(
-                F.transform("__values", lambda c: described(c, F.col("__text"), F.col("__path"), self.dictionary)),
+    def judged(self, text: Column, path: Column) -> Column:
+        """A struct of ``candidates``, the number of different values, and ``secrets``.
+
+        Secrets are structs of value, at (from 1) and score, one for each place, in order.
+        """
+
+        def scored(values: Column) -> Column:
+            return F.transform(
+                F.transform(values, lambda c: described(c, text, path, self.dictionary)),
                 lambda d: F.struct(
-                    d.getField("value").alias("value"),
-                    d.getField("at").alias("at"),
-                    _forest_expression(self.model, d).alias("score"),
+                    d.getField("at").alias("at"), d.getField("value").alias("value"), self.forest.score(d).alias("score")
                 ),
-            ),
-        )
-        # The most secret place of each value first: array_sort puts equal values beside each other.
-        chosen = F.array_sort(
-            F.transform(
-                F.filter("__scored", lambda s: s.getField("score") >= self.threshold),
-                lambda s: F.struct(s.getField("value").alias("value"), (-s.getField("score")).alias("score"), s.getField("at").alias("at")),
             )
-        )
-        rows = scored.withColumn("__chosen", chosen)
-        best = F.filter(
-            F.transform(
-                "__chosen",
-                lambda s, i: F.struct(
-                    s.getField("value").alias("value"),
-                    s.getField("at").alias("at"),
-                    (-s.getField("score")).alias("score"),
-                    ((i > 0) & (F.get("__chosen", i - 1).getField("value") == s.getField("value"))).alias("again"),
+
+        def chosen(places: Column) -> Column:
+            sure = F.filter(places, lambda s: s.getField("score") >= self.threshold)
+            names = F.array_distinct(F.transform(sure, lambda s: s.getField("value")))
+            return let(
+                names,
+                lambda known: F.struct(
+                    F.size(F.array_distinct(F.transform(places, lambda s: s.getField("value")))).alias("candidates"),
+                    F.array_sort(F.filter(places, lambda s: F.array_contains(known, s.getField("value")))).alias("secrets"),
                 ),
-            ),
-            lambda s: ~s.getField("again"),
-        )
-        best = F.array_sort(F.transform(best, lambda s: F.struct(s.getField("at").alias("at"), s.getField("value").alias("value"), s.getField("score").alias("score"))))
-        secrets = F.transform(best, lambda s: F.struct(s.getField("value").alias("value"), s.getField("at").alias("at"), s.getField("score").alias("score")))
-        different = F.size(F.array_distinct(F.transform("__values", lambda c: c.getField("value"))))
-        return rows.select(*docs.columns, different.alias("__candidates"), secrets.alias("__secrets"))
+            )
+
+        return let(occurrences(text), lambda values: let(scored(values), chosen))
+
+    def scanned(self, docs: DataFrame, path: Column) -> DataFrame:
+        """``row``, a struct of all columns of ``docs``, with ``text`` and ``found``, as ``judged`` gives it."""
+        path = F.coalesce(path.cast("string"), F.lit(""))
+        prepared = docs.select(as_row(docs).alias("row"), whole_text().alias("text"), path.alias("path"))
+        return prepared.select("row", "text", self.judged(F.col("text"), F.col("path")).alias("found"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """doc_id, path, n_candidates, n_secrets and the secrets found in every document."""
+    """doc_id, path, n_candidates, n_secrets (places) and the secrets found in every document."""
     scanner = SecretScanner.train(docs, findings)
     found = scanner.scanned(docs.select("doc_id", "source", "text"), F.col("source"))
     return found.select(
-        "doc_id",
-        F.col("source").alias("path"),
-        F.col("__candidates").alias("n_candidates"),
-        F.size("__secrets").alias("n_secrets"),
-        F.col("__secrets").alias("secrets"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("row.source").alias("path"),
+        F.col("found.candidates").alias("n_candidates"),
+        F.size("found.secrets").alias("n_secrets"),
+        F.transform(
+            "found.secrets",
+            lambda s: F.struct(s.getField("value").alias("value"), s.getField("at").alias("at"), s.getField("score").alias("score")),
+        ).alias("secrets"),
+    )
+
+
+def without(text: Column, places: Column, mark: str) -> Column:
+    """``text`` with each place (at from 1, value), in their order, replaced by ``mark``; overlapping ones as one."""
+
+    def cut(done: Column, s: Column) -> Column:
+        start, end = s.getField("at"), s.getField("at") + F.length(s.getField("value"))
+        gap = F.substring(text, done.getField("at"), start - done.getField("at"))
+        return F.struct(
+            F.when(start < done.getField("at"), done.getField("out")).otherwise(F.concat(done.getField("out"), gap, F.lit(mark))).alias("out"),
+            F.greatest(done.getField("at"), end).alias("at"),
+        )
+
+    return F.aggregate(
+        places,
+        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        cut,
+        lambda done: F.concat(done.getField("out"), F.substring(text, done.getField("at"), F.length(text))),
     )
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``mark``, and n_chars to match."""
+    """``docs`` with every place of a secret in the text replaced by ``mark``, and n_chars to match."""
     scanner = SecretScanner.train(docs, findings)
-    found = scanner.scanned(docs, F.col("source"))
-    text = F.aggregate(
-        F.sort_array(F.transform("__secrets", lambda s: F.struct(F.length(s.getField("value")), s.getField("value").alias("value"))), False),
-        F.col("text"),
-        lambda out, s: F.replace(out, s.getField("value"), F.lit(mark)),
-    )
-    has = F.size("__secrets") > 0
-    cleaned = found.withColumn("text", F.when(has, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        cleaned = cleaned.withColumn("n_chars", F.when(has, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+    has = F.size("found.secrets") > 0
+    clean = F.when(has, without(F.col("text"), F.col("found.secrets"), mark)).otherwise(F.col("row.text"))
+    cleaned = scanner.scanned(docs, F.col("source")).select("row", has.alias("has"), clean.alias("clean"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias("text")
+        if name == "n_chars":
+            kind = dict(docs.dtypes)["n_chars"]
+            return F.when(F.col("has"), F.length("clean").cast(kind)).otherwise(F.col("row.n_chars")).alias("n_chars")
+        return F.col("row").getField(name).alias(name)
+
+    return cleaned.select(*[column(c) for c in docs.columns])
