@@ -27,7 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, let, row_columns, stored, whole_text
+from .common import as_row, constants, let, row_columns, stored, whole_text
 
 SYMBOLS = "!#$%&*+/<=>@^_`{|}~"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -167,27 +167,28 @@ def rate_of(posterior: Column, steps: list[list[float]], ridge: float, max_rate:
     """The rate after all projected-gradient steps, each given by its scaled residuals."""
     if not steps:
         return F.lit(1.0)
-    history = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in steps])
+    size = len(steps[0])
+    residuals = constants([float(x) for r in steps for x in r], "double")
 
     def final(p: Column) -> Column:
-        def step(rate: Column, residual: Column) -> Column:
-            slope = F.aggregate(F.zip_with(p, residual, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        def step(rate: Column, n: Column) -> Column:
+            slope = sum((F.get(p, F.lit(i)) * F.get(residuals, n * size + i) for i in range(size)), F.lit(0.0))
             return F.greatest(F.lit(0.0), F.least(F.lit(max_rate), rate - (slope + ridge * (rate - 1)) / (1 + ridge)))
 
-        return F.aggregate(history, F.lit(1.0), step)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)
 
     return let(_shares(posterior), final)
 
 
 def fit_rates(
-    described: DataFrame, domains: list[str], weights: dict[str, float], max_rate: float, ridge: float = 1e-3, rounds: int = 60
+    described: DataFrame, domains: list[str], weights: dict[str, float], max_rate: float, ridge: float = 1e-3, rounds: int = 30
 ) -> list[list[float]]:
     """Scaled residuals of each projected-gradient step.
 
     ``described`` has n_tokens and posterior.  Each step is one aggregation over the sums by
     posterior, of which there are at most as many as documents and as ways to share GRID
     steps among the domains.  Steps end when no residual is over ``TOLERANCE`` or when a
-    step no longer lessens the largest (what the ridge and the bounds leave).
+    step changes them by less than a tenth of that (what the ridge and the bounds leave).
     """
     cells = stored(described.groupBy("posterior").agg(F.sum("n_tokens").cast("double").alias("tokens")), "mixing-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
@@ -207,7 +208,7 @@ def fit_rates(
     now = natural
     for _ in range(rounds):
         residual = [(a - t) / s for a, t, s in zip(now, target, scale)]
-        if max(map(abs, residual)) < TOLERANCE or steps and sum(abs(x - y) for x, y in zip(residual, steps[-1])) < TOLERANCE / 100:
+        if max(map(abs, residual)) < TOLERANCE or steps and sum(abs(x - y) for x, y in zip(residual, steps[-1])) < TOLERANCE / 10:
             break
         steps.append(residual)
         now = achieved(rate_of(F.col("posterior"), steps, ridge, max_rate))
