@@ -1,16 +1,27 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-Every line and every paragraph of a text that names a licence is compared with notice
-templates as a sparse TF-IDF vector; the most similar template over a threshold is the
-file's own licence.  Document frequencies of the template words are counted over the
-whole corpus.  A file that is named as a licence file, or is little but a notice, gives
-its licence to its directory; files without a licence of their own inherit it from the
-nearest ancestor directory, found by joining directories with their ancestors.
+Passages of a text are runs of neighbouring units (lines, and the sentences of a line) of at
+most ``LONGEST`` words together, single units of any length, and the whole text.  Each is
+compared with licence notices and bodies as a sparse TF-IDF vector; the most similar
+template over a threshold gives the passage's licence.  Document frequencies of the
+template words are counted over the whole corpus.
+
+Only passages that hold an anchor are compared.  The anchors of a template are its
+heaviest words, as many as it takes until the rest of its vector is shorter than the
+threshold: a passage without any of them can't reach the threshold.  So the anchors are an
+index of the templates' words and leave nothing out.
+
+Of passages that overlap the most similar one counts, and of these of one text the most
+similar gives the file's own licence; ``all_licences`` names all.  A file that is named as a
+licence file, or is little but a notice, gives its licence to its directory; files without
+a licence of their own inherit it from the nearest ancestor directory, found by joining
+directories with their ancestors.
 
 Defined results: null and empty texts have no own licence but may inherit one; a null
 path lies in the root directory; ties of similarity go to the licence first in the
-alphabet; of several licence files in a directory one named as such comes first, then
-the most similar; repeated rows are kept; an empty table gives an empty result; other columns are ignored.
+alphabet, then to the earlier and the shorter passage; of several licence files in a
+directory one named as such comes first, then the most similar; repeated rows are kept; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,13 +63,43 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("ISC", "Released under the ISC License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. The software is provided as is, without warranty of any kind, express or implied, including but not "
+        "limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ),
+    (
+        "Unlicense",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 )
 
 TOKEN = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
-SIGN = re.compile(
-    r"licen[cs]e|all rights reserved|permission is hereby|redistribution and use|public domain|creative commons|\bcc0?[ -]by\b",
-    re.IGNORECASE,
-)
+UNIT_END = re.compile(r"\n+|(?<=[.;])[ \t]+(?=[A-Z])")
+#: Words of a passage of several units; twice the longest template has fewer.
+LONGEST = 250
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright)[^/]*$"
 
 
@@ -78,51 +119,118 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
     return docs.count(), {r["word"]: r["count"] for r in rows}
 
 
+def units_of(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the lines of a text and of the sentences of each."""
+    out, at = [], 0
+    for m in [*UNIT_END.finditer(text), None]:
+        end = len(text) if m is None else m.start()
+        if words := words_in(text[at:end]):
+            out.append((at, end, words))
+        at = end if m is None else m.end()
+    return out
+
+
+class Passage:
+    """The cosine of a growing list of words to each template."""
+
+    def __init__(self, matcher: Matcher):
+        self.matcher, self.count, self.square = matcher, Counter(), 0.0
+        self.dots = [0.0] * len(TEMPLATES)
+        self.anchored = 0
+
+    def add(self, words: list[str]) -> None:
+        m = self.matcher
+        for w in words:
+            idf = m.idf.get(w, m.unknown)
+            c = self.count[w]
+            self.count[w] = c + 1
+            self.square += idf * idf * (2 * c + 1)
+            for t, weight in m.holders.get(w, ()):
+                self.dots[t] += idf * weight
+            self.anchored += w in m.anchors
+
+    def best(self) -> tuple[float, str]:
+        """(similarity, licence); of equal ones the first in the alphabet."""
+        if not self.square:
+            return 0.0, ""
+        norm = math.sqrt(self.square)
+        return min(((-round(d / (size * norm), 9), name) for d, (name, size) in zip(self.dots, self.matcher.templates) if d), default=(0.0, ""))
+
+
 class Matcher:
-    """Cosine of a passage to each template, with inverse document frequencies."""
+    """Template vectors with inverse document frequencies, and the anchors for a threshold."""
 
-    def __init__(self, n: int, frequencies: dict[str, int]):
+    def __init__(self, n: int, frequencies: dict[str, int], threshold: float = 0.5):
+        self.threshold = threshold
         self.idf = {w: math.log((n + 1) / (frequencies.get(w, 0) + 1)) + 1 for w in vocabulary()}
         self.unknown = math.log(n + 1) + 1
-        self.templates = []
-        for name, text in TEMPLATES:
+        self.templates: list[tuple[str, float]] = []
+        self.holders: dict[str, list[tuple[int, float]]] = {}
+        self.anchors: set[str] = set()
+        for t, (name, text) in enumerate(TEMPLATES):
             weights = {w: c * self.idf[w] for w, c in Counter(words_in(text)).items()}
-            self.templates.append((name, weights, math.sqrt(sum(x * x for x in weights.values()))))
+            size = math.sqrt(sum(x * x for x in weights.values()))
+            self.templates.append((name, size))
+            rest = size * size
+            for w, x in sorted(weights.items(), key=lambda item: (-item[1], item[0])):
+                self.holders.setdefault(w, []).append((t, x))
+                if math.sqrt(max(rest, 0.0)) >= (threshold - 1e-6) * size:
+                    self.anchors.add(w)
+                rest -= x * x
 
     def best(self, passage: str) -> tuple[float, str]:
-        weights = {w: c * self.idf.get(w, self.unknown) for w, c in Counter(words_in(passage)).items()}
-        norm = math.sqrt(sum(x * x for x in weights.values())) or 1.0
-        out = (0.0, "")
-        for name, other, size in self.templates:
-            cosine = round(sum(x * weights[w] for w, x in other.items() if w in weights) / (size * norm), 9)
-            if cosine > out[0] or (cosine == out[0] and name < out[1]):
-                out = (cosine, name)
-        return out
+        p = Passage(self)
+        p.add(words_in(passage))
+        cosine, name = p.best()
+        return -cosine, name
+
+    def passages(self, text: str) -> list[tuple[float, str, int, int]]:
+        """(similarity, licence, start, end) of the passages that are chosen, the most similar first."""
+        units = units_of(text)
+        hits = [i for i, (_, _, words) in enumerate(units) if not self.anchors.isdisjoint(words)]
+        if not hits:
+            return []
+        found = []
+        starts: set[int] = set()
+        for i in hits:
+            size, a = len(units[i][2]), i
+            starts.add(i)
+            while a > 0 and size + len(units[a - 1][2]) <= LONGEST:
+                a -= 1
+                size += len(units[a][2])
+                starts.add(a)
+        for a in sorted(starts):
+            p, size = Passage(self), 0
+            for b in range(a, len(units)):
+                size += len(units[b][2])
+                if b > a and size > LONGEST:
+                    break
+                p.add(units[b][2])
+                if p.anchored:
+                    cosine, name = p.best()
+                    if -cosine >= self.threshold:
+                        found.append((cosine, name, units[a][0], units[b][1]))
+        chosen: list[tuple[float, str, int, int]] = []
+        for cosine, name, a, b in sorted(found, key=lambda f: (f[0], f[1], f[2], f[3])):
+            if not any(a < d and c < b for _, _, c, d in chosen):
+                chosen.append((-cosine, name, a, b))
+        return chosen
 
     def of_text(self, text: str) -> tuple[float, str, str]:
-        """(similarity, licence, passage) of the most similar line or paragraph."""
-        best = (0.0, "", "")
-        if not SIGN.search(text):
-            return best
-        for paragraph in re.split(r"\n\s*\n", text):
-            if not SIGN.search(paragraph):
-                continue
-            lines = paragraph.split("\n")
-            passages = [x for x in lines if SIGN.search(x)]
-            passages += [s for x in passages for s in re.split(r"(?<=[.;])\s+(?=[A-Z])", x) if s != x and SIGN.search(s)]
-            for passage in passages + ([paragraph] if 1 < len(lines) <= 60 else []):
-                cosine, name = self.best(passage)
-                if cosine > best[0]:
-                    best = (cosine, name, passage)
-        return best
-
-
-_OWN = "doc_id {}, path string, own_licence string, similarity double, passage_sha string, whole double"
+        """(similarity, licence, passage) of the most similar passage."""
+        chosen = self.passages(text)
+        if not chosen:
+            return 0.0, "", ""
+        cosine, name, a, b = chosen[0]
+        return cosine, name, text[a:b]
+
+
+_OWN = "doc_id {}, path string, own_licence string, similarity double, passage_sha string, whole double, all_licences string"
 
 
 def own_licences(files: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, path, own licence (or null), its similarity, and that of the text as a whole."""
-    matcher = Matcher(*document_frequencies(files))
+    """doc_id, path, own licence (or null), its similarity, that of the text as a whole, and all licences it names."""
+    matcher = Matcher(*document_frequencies(files), threshold)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -131,15 +239,15 @@ def own_licences(files: DataFrame, threshold: float) -> DataFrame:
             rows = []
             for text in batch.column("text"):
                 text = text.as_py()
-                cosine, name, passage = matcher.of_text(text)
-                if cosine < threshold:
-                    rows.append((None, cosine, None, 0.0))
-                else:
-                    # A text many times as long as its notice can't be little but a notice.
-                    whole = matcher.best(text)[0] if len(text) <= 4 * len(passage) else 0.0
-                    rows.append((name, cosine, hashlib.sha256(passage.encode()).hexdigest()[:16], whole))
-            kinds = [pa.string(), pa.float64(), pa.string(), pa.float64()]
-            columns = list(zip(*rows)) or [[]] * 4
+                chosen = matcher.passages(text)
+                if not chosen:
+                    rows.append((None, 0.0, None, 0.0, None))
+                    continue
+                cosine, name, a, b = chosen[0]
+                sha = hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest()[:16]
+                rows.append((name, cosine, sha, matcher.best(text)[0], ",".join(sorted({c[1] for c in chosen}))))
+            kinds = [pa.string(), pa.float64(), pa.string(), pa.float64(), pa.string()]
+            columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("path"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 names=[x.split()[0] for x in _OWN.split(", ")],
@@ -181,7 +289,9 @@ def scan_licences(files: DataFrame, threshold: float = 0.5, whole_threshold: flo
         .agg(F.max_by(F.struct("above", "licence"), "depth").alias("nearest"))
         .select("dir", F.col("nearest.licence").alias("inherited_licence"), F.col("nearest.above").alias("inherited_from"))
     )
-    joined = own.join(inherited, "dir", "left")
+    # Stored, so that both sides of the join are dealt out anew and a directory that holds a
+    # third of all files is split among tasks; the merge hint keeps it from being broadcast.
+    joined = own.join(stored(inherited, "inherited").hint("merge"), "dir", "left")
     return joined.select(
         "doc_id",
         "path",
@@ -191,4 +301,5 @@ def scan_licences(files: DataFrame, threshold: float = 0.5, whole_threshold: flo
         F.when(F.col("own_licence").isNull(), F.col("inherited_licence")).alias("inherited_licence"),
         F.when(F.col("own_licence").isNull(), F.col("inherited_from")).alias("inherited_from"),
         F.coalesce("own_licence", "inherited_licence").alias("licence"),
+        "all_licences",
     )
