@@ -1,7 +1,9 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-A text is parsed word by word into dictionary phrases (LZ78: each new phrase is a known
-one plus a word).  The set of phrases is hashed into a minimum-hash signature of 64
+A text is parsed unit by unit into dictionary phrases (LZ78: each new phrase is a known
+one plus a unit).  Units are words; a run without white space that is longer than
+``LONGEST_WORD``, or that holds a letter of a script written without spaces, gives one unit
+for each of its code points.  The set of phrases is hashed into a minimum-hash signature of 64
 values, 16 bits each; the share of equal values of two signatures estimates how many
 phrases their texts share, much as a joint compressor would find them.
 
@@ -9,7 +11,7 @@ phrases their texts share, much as a joint compressor would find them.
 each task meets neighbours in turn; only the two rows at each partition bound, a count
 that depends on the number of partitions alone, are brought together afterwards.
 
-Defined results: a null text is empty; a text without words has the signature of the
+Defined results: a null text is empty; a text without units has the signature of the
 empty phrase; ties of doc_id are ordered by a hash of the text; rows without an id come
 last; repeated rows are kept; a single document is its own successor; an empty table
 gives an empty result; other columns are ignored.
@@ -18,6 +20,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,22 @@ from pyspark.sql import functions as F
 from .common import stored, whole_text
 
 VALUES = 64
+LONGEST_WORD = 24
+#: Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
+
+
+def units(words: list[str]) -> list[str]:
+    """The words, with long and unspaced ones in single code points."""
+    if not words or (max(map(len, words)) <= LONGEST_WORD and not UNSPACED.search("".join(words))):
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) > LONGEST_WORD or UNSPACED.search(w):
+            out += w
+        else:
+            out.append(w)
+    return out
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +112,7 @@ def _phrases(hashes: list[int]) -> list[int]:
 
 
 def signature(text: str) -> bytes:
-    return folded(least(_phrases(Parse(text.split()).hashes)))
+    return folded(least(_phrases(Parse(units(text.split())).hashes)))
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -108,13 +127,16 @@ def edited_text(text: str, other: str) -> str:
 
 def both_signatures(text: str, edited: str) -> tuple[bytes, bytes]:
     """Signatures of a text and its edit; what they begin with alike is parsed once."""
-    a, b = text.split(), edited.split()
-    kept = len(text[: len(text) - len(text) // 3].split()) - 1
-    common = max(0, min(kept, len(b)))
-    parse = Parse(a[:common])
+    a, b = units(text.split()), units(edited.split())
+    # The last word of what is kept may go on differently, so it is compared unit by unit.
+    at, end = len(units(text[: len(text) - len(text) // 3].split()[:-1])), min(len(a), len(b))
+    while at < end and a[at] == b[at]:
+        at += 1
+    common = a[:at]
+    parse = Parse(common)
     start = least(parse.hashes[1:])
     out = []
-    for rest in (a[common:], b[common:]):
+    for rest in (a[len(common) :], b[len(common) :]):
         more = parse.tail(rest)
         if len(parse.hashes) == 1 and not more:
             more = [ROOT]
@@ -122,9 +144,12 @@ def both_signatures(text: str, edited: str) -> tuple[bytes, bytes]:
     return out[0], out[1]
 
 
-_COMPARED = pa.schema(
+def _compared(doc_id: pa.DataType) -> pa.Schema:
+    return pa.schema([("doc_id", doc_id), *_COMPARED])
+
+
+_COMPARED = (
     [
-        ("doc_id", pa.int64()),
         ("n_chars", pa.int64()),
         ("edited_sha256", pa.string()),
         ("print", pa.binary()),
@@ -137,7 +162,7 @@ _COMPARED = pa.schema(
     ]
 )
 _DDL = (
-    "doc_id long, n_chars long, edited_sha256 string, print binary, edited_print binary, "
+    "doc_id {}, n_chars long, edited_sha256 string, print binary, edited_print binary, "
     "near_edited double, near_next double, part long, text string, head_text string"
 )
 
@@ -159,9 +184,10 @@ def _compare(doc_id, text: str, following: str, next_print: bytes | None) -> tup
     )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[] for _ in _COMPARED]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COMPARED)], schema=_COMPARED)
+def _batch(rows: list[tuple], doc_id: pa.DataType) -> pa.RecordBatch:
+    schema = _compared(doc_id)
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +200,9 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head: str | None = None
     waiting: tuple | None = None  # doc_id, text
     done: list | None = None  # the row before, which lacks near_next
+    kind = None
     for batch in batches:
-        rows = []
+        rows, kind = [], batch.column("doc_id").type
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
             now = (doc_id.as_py(), text.as_py())
             if head is None:
@@ -186,13 +213,13 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((*done[:6], likeness(done[3], row[3]), *done[7:]))
                 done = row
             waiting = now
-        yield _batch(rows)
+        yield _batch(rows, kind)
     if waiting is not None:
         last = []
         if done is not None:
             last.append((*done[:6], likeness(done[3], signature(waiting[1])), *done[7:]))
         last.append((waiting[0], None, None, None, None, None, None, part, waiting[1], head))
-        yield _batch(last)
+        yield _batch(last, kind)
 
 
 def _at_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +228,8 @@ def _at_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 _compare(doc_id, text, following, signature(following))
                 for doc_id, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")))
-            ]
+            ],
+            batch.column("doc_id").type,
         )
 
 
@@ -213,10 +241,11 @@ def compare_in_order(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    ddl = _DDL.format(dict(docs.dtypes)["doc_id"])
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     sorted_texts = texts.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    compared = stored(sorted_texts.mapInArrow(_in_order, _DDL), "lz-compared")
+    compared = stored(sorted_texts.mapInArrow(_in_order, ddl), "lz-compared")
     inner = compared.where("part is null")
     # One row for each partition: its last document, and the first of the partition after.
     bounds = compared.where("part is not null").select("part", "doc_id", "text", "head_text")
@@ -225,7 +254,7 @@ def compare_in_order(docs: DataFrame) -> DataFrame:
     met = bounds.select(
         "doc_id", "text", F.coalesce(F.lead("head_text").over(every), first).alias("next_text")
     ).repartition(partitions, "doc_id")
-    rows = inner.unionByName(met.mapInArrow(_at_bounds, _DDL))
+    rows = inner.unionByName(met.mapInArrow(_at_bounds, ddl))
     return rows.select(
         "doc_id",
         "n_chars",
