@@ -6,14 +6,22 @@ Forward-backward gives each line's marginal probability of being good; their mea
 weighted by line length, is the document's raw quality, which a logistic curve fitted
 on the same training sample maps to the score.
 
-The model is fitted on a bounded, hash-chosen sample of labelled documents
-(``max_training_docs``); every document is scored over its whole text.
-
-Defined results: null and empty texts are one empty line; blank lines are skipped unless
-the whole text is blank; lines beyond any length are scored whole; equal texts get equal
-scores; repeated rows are kept; a document with several labels takes their rounded mean;
-without labels of both kinds every score is the share of good labels (0.5 without any);
-an empty table gives an empty result; other columns are ignored.
+Labels are of documents, not lines.  All lines of a good document are good.  Of a bad one
+those are good (but never its worst line) that a logistic regression on the features of
+single lines, with each line's document for its label, holds for good; so the chain meets
+good lines inside bad documents and learns where the label changes.
+
+The model is fitted in one task, on a bounded sample of labelled documents: the first
+``max_training_docs`` in the order of a hash, of which whole documents are taken, with all
+their lines, while these are at most ``MAX_TRAINING_LINES``.  Every document is scored over
+its whole text.
+
+Defined results, of scores and of what ``keep_good`` keeps alike: null and empty texts are
+one empty line; blank lines are skipped unless the whole text is blank; lines beyond any
+length are scored whole; equal texts get equal scores; repeated rows are kept; a document
+with several labels takes their rounded mean; without labels of both kinds every score is
+the share of good labels (0.5 without any); an empty table gives an empty result; other
+columns are ignored (``score_quality``) or kept (``keep_good``), whatever their names.
 """
 
 from __future__ import annotations
@@ -95,7 +103,7 @@ class Crf:
             return self.constant
         x, size = document_features(text)
         raw = float((self.marginals(x) * size).sum() / size.sum())
-        return float(1 / (1 + np.exp(-(self.scale * _logit(raw) + self.shift))))
+        return float(1 / (1 + np.exp(-np.clip(self.scale * _logit(raw) + self.shift, -500, 500))))
 
 
 def _logit(p):
@@ -133,55 +141,126 @@ def _pad(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
+#: Lines, padding included, of the documents that one step of the fit handles together.
+GROUP_LINES = 16_384
+
+
+def _groups(lengths: list[int]) -> list[np.ndarray]:
+    """Documents in groups of like length, each of about ``GROUP_LINES`` lines or one document."""
+    out: list[list[int]] = []
+    for i in np.argsort(lengths, kind="stable").tolist():
+        if not out or (len(out[-1]) + 1) * lengths[i] > GROUP_LINES:
+            out.append([])
+        out[-1].append(i)
+    return [np.array(g) for g in out]
+
+
 def fit(features: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rounds: int = 150) -> Crf:
-    """Maximise the conditional likelihood of every line carrying its document's label,
-    each document weighted alike, with a small penalty on large weights."""
+    """Maximise the conditional likelihood of the lines' labels, each document weighted
+    alike, with a small penalty on large weights."""
     share = float(labels.mean()) if len(labels) else 0.5
     if not len(labels) or share in (0.0, 1.0):
         return Crf(np.zeros(0), np.zeros((2, 2)), 1.0, 0.0, share)
-    order = np.argsort([len(x) for x in features], kind="stable")
-    groups = [order[i : i + 512] for i in range(0, len(order), 512)]
-    padded = [(*_pad([features[i] for i in g]), labels[g]) for g in groups]
+    groups = _groups([len(x) for x in features])
+    padded = [_pad([features[i] for i in g]) for g in groups]
+    single = _line_weights(padded, [labels[g] for g in groups])
+    marks = [line_labels(1 / (1 + np.exp(-_single(x) @ single)), mask, labels[g]) for g, (x, mask) in zip(groups, padded)]
     width = features[0].shape[1]
     theta = np.zeros(width + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    n_steps = max(1, sum(int(np.maximum(mask.sum(axis=1) - 1, 0).sum()) for _, mask in padded))
     for t in range(1, rounds + 1):
         pair = theta[width:].reshape(2, 2)
         slope = 1e-3 * theta
-        for x, mask, y in padded:
+        for (x, mask), y in zip(padded, marks):
             heavy = 1 / np.maximum(mask.sum(axis=1), 1)
-            good, _, _ = _marginals(x @ theta[:width], mask, pair)
-            slope[:width] += np.einsum("dlf,dl->f", x, (good - y[:, None]) * mask * heavy[:, None]) / len(labels)
-            if x.shape[1] > 1:
-                _, expected, _ = _marginals(x @ theta[:width], mask, pair)
-                seen = np.zeros((2, 2))
-                steps = np.maximum(mask.sum(axis=1) - 1, 0)
-                seen[0, 0], seen[1, 1] = steps[y == 0].sum(), steps[y == 1].sum()
-                slope[width:] += ((expected - seen) / max(1, steps.sum())).ravel() / len(padded)
+            good, expected, _ = _marginals(x @ theta[:width], mask, pair)
+            slope[:width] += np.einsum("dlf,dl->f", x, (good - y) * mask * heavy[:, None]) / len(labels)
+            slope[width:] += ((expected - _label_pairs(y, mask)) / n_steps).ravel()
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         theta = theta - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     model = Crf(theta[:width], theta[width:].reshape(2, 2), 1.0, 0.0)
-    raw = np.array([(model.marginals(x) * s).sum() / s.sum() for x, s in zip(features, sizes)])
+    raw = np.zeros(len(labels))
+    for g, (x, mask) in zip(groups, padded):
+        good, _, _ = _marginals(x @ model.weights, mask, model.pair)
+        for i, row in zip(g, good):
+            raw[i] = (row[: len(sizes[i])] * sizes[i]).sum() / sizes[i].sum()
     model.scale, model.shift = _calibrate(_logit(raw), labels)
     return model
 
 
+def _single(x: np.ndarray) -> np.ndarray:
+    """The features of a line that don't depend on its neighbours."""
+    return np.concatenate([x[..., :N_LINE], x[..., 3 * N_LINE :]], axis=-1)
+
+
+def _line_weights(padded: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray]) -> np.ndarray:
+    """Logistic regression of the document's label on single lines, by Newton steps."""
+    width = _single(padded[0][0]).shape[-1]
+    w = np.zeros(width)
+    for _ in range(12):
+        slope, bend = 1e-2 * w, 1e-2 * np.eye(width)
+        for (x, mask), y in zip(padded, labels):
+            lines = _single(x)[mask]
+            p = 1 / (1 + np.exp(-np.clip(lines @ w, -30, 30)))
+            slope += lines.T @ (p - np.repeat(y, mask.sum(axis=1)))
+            bend += (lines * (p * (1 - p))[:, None]).T @ lines
+        step = np.linalg.solve(bend, slope)
+        w = w - step
+        if abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def line_labels(good: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """A label for each line: 1 in good documents; in bad ones where the model says so, but for its worst line."""
+    out = np.where(labels[:, None] == 1, 1.0, (good > 0.5).astype(float))
+    worst = np.argmin(np.where(mask, good, np.inf), axis=1)
+    rows = np.nonzero(labels == 0)[0]
+    out[rows, worst[rows]] = 0.0
+    return out
+
+
+def _label_pairs(y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """How often each pair of labels follows one another."""
+    live = mask[:, 1:]
+    kinds = (2 * y[:, :-1] + y[:, 1:])[live].astype(np.int64)
+    return np.bincount(kinds, minlength=4).reshape(2, 2).astype(float)
+
+
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve through (z, y) with smoothed targets, by Newton steps."""
+    """Logistic curve through (z, y) with smoothed targets, by Newton steps that are halved until they help."""
     ones, zeros = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.stack([z, np.ones_like(z)], axis=1)
+
+    def loss(w: np.ndarray) -> float:
+        m = x @ w
+        return float((np.logaddexp(0, m) - target * m).sum() + 5e-4 * ((w - [1.0, 0.0]) ** 2).sum())
+
     w = np.array([1.0, 0.0])
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0])
         bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(bend, slope)
-        w[0] = max(w[0], 0.05)
+        step, now = np.linalg.solve(bend, slope), loss(w)
+        for _ in range(30):
+            after = w - step
+            after[0] = max(after[0], 0.05)
+            if loss(after) <= now:
+                break
+            step = step / 2
+        else:
+            break
+        w = after
     return float(w[0]), float(w[1])
 
 
+#: Lines of all training documents together.
+MAX_TRAINING_LINES = 400_000
+
+
 def train(docs: DataFrame, labels: DataFrame, max_training_docs: int = 4000, folds: int = 5) -> Crf:
     """Fit on at most ``max_training_docs`` labelled documents outside fold 0."""
     marked = (
@@ -191,32 +270,36 @@ def train(docs: DataFrame, labels: DataFrame, max_training_docs: int = 4000, fol
         .agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     )
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training_docs)
-    # At most max_training_docs pairs of integers: a size fixed by the parameter.
-    known = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    described = known.mapInArrow(_describe, "quality int, lines long, features binary, sizes binary")
-    rows = described.limit(2 * max_training_docs).collect()
-    rows.sort(key=lambda r: (r["features"], r["quality"]))
-    features = [np.frombuffer(r["features"], np.float32).reshape(r["lines"], -1).astype(float) for r in rows]
-    sizes = [np.frombuffer(r["sizes"], np.float64) for r in rows]
-    return fit(features, sizes, np.array([r["quality"] for r in rows], float))
-
-
-#: Lines of one training document that are used; scoring uses all lines.
-TRAINING_LINES = 200
-
-
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # At most max_training_docs pairs of an id and an integer: a size fixed by the parameter.
+    known = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    # Rows that share an id can be any number; the bound holds for them too.
+    bounded = known.orderBy(F.xxhash64("text"), "quality", "text").limit(max_training_docs)
+    row = bounded.mapInArrow(_fitted, "weights array<double>, pair array<double>, curve array<double>").first()
+    if row is None:
+        return fit([], [], np.zeros(0))
+    scale, shift, *constant = row["curve"]
+    return Crf(np.array(row["weights"]), np.array(row["pair"]).reshape(2, 2), scale, shift, *constant)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model that fits all rows (quality, text) of the one partition there is."""
+    features, sizes, labels, lines = [], [], [], 0
     for batch in batches:
-        out = []
         for text, quality in zip(batch.column("text"), batch.column("quality")):
             x, size = document_features(text.as_py())
-            x, size = x[:TRAINING_LINES], size[:TRAINING_LINES]
-            out.append((quality.as_py(), len(x), x.astype(np.float32).tobytes(), size.tobytes()))
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        columns = list(zip(*out)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["quality", "lines", "features", "sizes"]
-        )
+            if not features or lines + len(x) <= MAX_TRAINING_LINES:
+                features.append(x.astype(np.float32).astype(float))
+                sizes.append(size)
+                labels.append(quality.as_py())
+                lines += len(x)
+    if not features:
+        return
+    model = fit(features, sizes, np.array(labels, float))
+    curve = [model.scale, model.shift] + ([] if model.constant is None else [model.constant])
+    kind = pa.list_(pa.float64())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([x], kind) for x in (model.weights.tolist(), model.pair.ravel().tolist(), curve)], names=["weights", "pair", "curve"]
+    )
 
 
 def score_quality(
