@@ -308,7 +308,7 @@ def read_archives(spark: SparkSession, folder: str, range_bytes: int = 8 << 20,
 
 
 _ROW = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+    "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, feature string, error string"
 )
 
@@ -324,7 +324,7 @@ def media_features(docs: DataFrame, folder: str | None = None) -> DataFrame:
             rows = []
             for member, payload, media, error in zip(*(batch.column(c) for c in ("member", "payload", "media", "error"))):
                 about = json.loads(member.as_py().split("/", 1)[1].removesuffix(".png"))
-                own = (about["doc_id"] and int(about["doc_id"]), about["n_bytes"])
+                own = (about["doc_id"], about["n_bytes"])
                 if error.as_py() is not None:
                     rows.append((*own, None, None, None, None, None, None, error.as_py()))
                     continue
@@ -341,9 +341,10 @@ def media_features(docs: DataFrame, folder: str | None = None) -> DataFrame:
                         None,
                     )
                 )
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             names = [x.split()[0] for x in _ROW.split(", ")]
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return read_archives(spark, folder).mapInArrow(describe, _ROW)
+    rows = read_archives(spark, folder).mapInArrow(describe, _ROW)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))

@@ -224,7 +224,7 @@ class _Packer:
 
 PIECE = pa.schema(
     [
-        ("doc_id", pa.int64()),
+        ("doc_id", pa.string()),
         ("start", pa.int64()),
         ("length", pa.int64()),
         ("ids_crc32", pa.int64()),
@@ -237,7 +237,7 @@ PIECE = pa.schema(
     ]
 )
 PIECE_DDL = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+    "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "open_in long, ids binary, cuts binary"
 )
 
@@ -331,7 +331,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -
     ids as little-endian unsigned 32-bit integers), doc_tokens, sequence_id, offset
     (in the window, without gaps from 0).
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    # Ids of any type travel as text.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
     pieces = stored(texts.mapInArrow(_first_pass(tokenizer_path, capacity), PIECE_DDL), "pieces")
     shown = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     closed = pieces.where("open_in is null").select(*shown)
@@ -339,4 +340,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -
     again = opened.groupBy((F.col("open_in") / NEIGHBOURS).cast("long").alias("near")).applyInArrow(
         _second_pass(capacity), PIECE_DDL
     )
-    return closed.unionByName(again.select(*shown))
+    rows = closed.unionByName(again.select(*shown))
+    return rows.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))

@@ -153,16 +153,41 @@ def test_parse_is_lz78():
 
 
 def test_compared_in_order(spark, docs):
-    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in lzprint.compare_in_order(docs).collect()}
+    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in lzprint.compare_in_order(docs.withColumn("part", F.lit(1))).collect()}
     table = sorted(rows_of(docs), key=lambda x: (x[0] is None, -(x[0] or 0)))
     assert len(table) == docs.count()
     for (d, t), (_, following) in zip(table, table[1:] + table[:1]):
         edited = lzprint.edited_text(t, following)
         row = got[d, len(t), hashlib.sha256(edited.encode()).hexdigest()]
-        assert row.fingerprint == lzprint.signature(t).hex()
+        assert row.fingerprint == lzprint.signature(t).hex() and row.edited_fingerprint == lzprint.signature(edited).hex()
+        assert row.near_edited == lzprint.likeness(lzprint.signature(t), lzprint.signature(edited))
         assert row.near_next == lzprint.likeness(lzprint.signature(t), lzprint.signature(following))
 
 
+def test_unspaced_texts_are_parsed_by_code_point():
+    r = random.Random(6)
+    for letters in ("日本語かなカナ漢字文章的是不", "abcdefg", "ab c日", "xyz \n漢"):
+        text = "".join(r.choice(letters) for _ in range(900))
+        for following in ("".join(r.choice(letters) for _ in range(700)), "", text, "plain words"):
+            edited = lzprint.edited_text(text, following)
+            assert lzprint.both_signatures(text, edited) == (lzprint.signature(text), lzprint.signature(edited))
+    text, other = ("".join(r.choice("日本語かなカナ漢字文章的是不") for _ in range(3000)) for _ in range(2))
+    assert lzprint.likeness(*lzprint.both_signatures(text, lzprint.edited_text(text, other))) > 0.3
+    assert lzprint.units(["word", "日x", "a" * 30]) == ["word", "日", "x", *"a" * 30]
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_ids_of_other_types(spark, docs, kind):
+    named = docs.where("doc_id < 12").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    for rows in (
+        lzprint.compare_in_order(named), packing.pack_documents(named, VOCABULARY), media.media_features(named),
+        quality_crf.score_quality(named, spark.createDataFrame([], "doc_id long, quality int")),
+        simhash.near_duplicates(named), pii.find_personal_data(named),
+    ):
+        assert dict(rows.dtypes)["doc_id"] == kind
+        assert {r.doc_id for r in rows.collect()} == {r.doc_id for r in named.collect()}
+
+
 # ---- near duplicates
 
 
@@ -292,6 +317,36 @@ def test_marginals_by_enumeration():
     assert np.allclose(got[0], want) and math.isclose(logz[0], math.log(z))
 
 
+def test_lines_of_bad_documents_are_told_apart():
+    r = random.Random(11)
+    good = lambda: "The " + " ".join(r.choice(WORDS) for _ in range(12)) + "."
+    bad = lambda: " ".join("%$#@"[r.randint(0, 3)] * 4 for _ in range(12))
+    texts, labels = [], []
+    for i in range(160):
+        lines = [good() for _ in range(8)]
+        if i % 2:
+            at = r.randint(1, 4)
+            lines[at : at + 3] = [bad() for _ in range(3)]
+        texts.append("\n".join(lines))
+        labels.append(1.0 - i % 2)
+    xs, sizes = zip(*map(quality_crf.document_features, texts))
+    model = quality_crf.fit(list(xs), list(sizes), np.array(labels))
+    marks = model.marginals(xs[1])
+    junk = ["%" in line or "#" in line or "@" in line for line in texts[1].split("\n")]
+    assert all((m < 0.5) == j for m, j in zip(marks, junk))
+    assert model.pair[0, 0] + model.pair[1, 1] > model.pair[0, 1] + model.pair[1, 0]
+    assert sum((model.score(t) > 0.5) == (y == 1) for t, y in zip(texts, labels)) > 155
+
+
+def test_all_lines_of_training_documents_count(spark):
+    tail = "%%% $$$ &&& ###\n" * 300
+    rows = [(i, "The plain words of a text.\n" * 300 + (tail if i % 2 else "More of the plain words.\n" * 300)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    scored = quality_crf.score_quality(docs, labels).collect()
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in scored)
+
+
 def test_quality_on_held_out_labels(spark, docs, nothing):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -690,11 +745,68 @@ def test_licences(spark, docs):
     assert (got[2].licence, got[2].inherited_from) == ("GPL-3.0", "a/b")
     assert got[4].licence is None and got[5].licence is None
     notice = {"CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    assert got[3].all_licences == "MIT" and got[2].all_licences is None
     matcher = licences.Matcher(10, {})
     assert all(matcher.of_text("some words\n" + t)[1] == name for name, t in notice.items())
     assert licences.scan_licences(files.limit(0)).count() == 0
 
 
+def best_by_force(matcher, text):
+    """The most similar of all passages, by comparing each with every template as full vectors."""
+    units = licences.units_of(text)
+    best = (0.0, "", 0, 0)
+
+    def vector(words):
+        return {w: c * matcher.idf.get(w, matcher.unknown) for w, c in Counter(words).items()}
+
+    for i in range(len(units)):
+        for j in range(i, len(units)):
+            words = [w for u in units[i : j + 1] for w in u[2]]
+            if j > i and len(words) > licences.LONGEST:
+                break
+            v = vector(words)
+            for name, t in licences.TEMPLATES:
+                u = vector(licences.words_in(t))
+                cosine = round(sum(x * v.get(w, 0) for w, x in u.items()) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values())), 9)
+                key = (-cosine, name, units[i][0], units[j][1])
+                if cosine >= matcher.threshold and key < (-best[0], *best[1:]) or cosine >= matcher.threshold and not best[1]:
+                    best = (cosine, *key[1:])
+    return best
+
+
+def test_passages_equal_brute_force():
+    r = random.Random(7)
+    matcher = licences.Matcher(500, {w: r.randint(0, 400) for w in licences.vocabulary()})
+    bodies = [t for _, t in licences.TEMPLATES]
+    for _ in range(40):
+        lines = []
+        for _ in range(r.randint(1, 9)):
+            words = (r.choice(bodies) if r.random() < 0.3 else prose(r.randint(1, 12), r.random())).split()
+            for i in range(0, len(words), 7):
+                lines.append(" ".join(words[i : i + 7]))
+        text = "\n".join(lines)
+        want = best_by_force(matcher, text)
+        chosen = matcher.passages(text)
+        assert (chosen[0] if chosen else (0.0, "", 0, 0)) == pytest.approx(want)
+
+
+def test_licences_of_long_and_unnamed_texts(spark):
+    notice = "This program is free software: you can redistribute it and or modify it under the terms published by the Free Software Foundation"
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 500)
+    wrapped = "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60))
+    matcher = licences.Matcher(1000, {"this": 900, "is": 900, "the": 990, "and": 980, "it": 900, "or": 800, "by": 800, "to": 900, "in": 900})
+    assert matcher.of_text(notice)[1] == "GPL-3.0"
+    alone, within = matcher.of_text(wrapped), matcher.of_text(wrapped + "\n" + "\n".join(prose(9, i) for i in range(90)))
+    assert alone[1] == within[1] == "MIT" and within[0] > 0.9
+    two = "This work is licensed under the GNU General Public License,\nversion 3\n" + prose(500, 3)
+    assert matcher.of_text(two)[1] == "GPL-3.0"
+    both = "Released under the MIT License.\n" + prose(40, 4) + "\nReleased under the ISC License."
+    files = spark.createDataFrame([(1, "a/x", both), (1, "a/x", both), (2, "a/COPYING", wrapped * 5), (3, "a/b/y", None)], "doc_id long, path string, text string")
+    rows = licences.scan_licences(files.withColumn("dir", F.lit(1)).withColumn("whole", F.lit(2))).collect()
+    assert len(rows) == 4 and all(r.all_licences == "ISC,MIT" and r.licence == "ISC" for r in rows if r.doc_id == 1)
+    assert [r.licence for r in rows if r.doc_id == 3] == ["MIT"]
+
+
 # ---- pipeline
 
 
