@@ -10,8 +10,9 @@ links of a bucket leaves the task.  Links become groups by rounds of star contra
 Defined results: a null text counts as empty; texts without words have fingerprint
 zero and are linked like any other; repeated rows are kept, each with its group; rows
 with a null doc_id take part with their text but lend no id, so a group that holds
-only such rows has a null component_id; an empty table gives an empty result; other
-columns of the input are ignored (``near_duplicates``) or kept (``deduplicate``).
+only such rows has a null component_id; rows that share a doc_id but not their text are
+different documents; an empty table gives an empty result; other columns of the input are
+ignored (``near_duplicates``, ``near_copies``) or kept (``deduplicate``), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import as_row, row_columns, stored, whole_text
 
 SEED = 42
 #: Members of one bucket that are compared within one task; larger buckets are dealt
@@ -337,12 +338,12 @@ def _sketches(width: int):
             keys, fps, tables = zip(*rows) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ("doc_id", "of_text", "of_row")),
                     pa.array(keys, pa.binary()),
                     pa.array(fps, pa.int64()),
                     pa.array(tables, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "wording", "fp", "tables"],
+                names=["doc_id", "of_text", "of_row", "wording", "fp", "tables"],
             )
 
     return scan
@@ -486,7 +487,7 @@ def _rest_of_buckets(
                     names=["node", "size", "sets"],
                 )
 
-    texts = docs.select(F.col("doc_id").alias("node"), whole_text().alias("text"))
+    texts = docs.select(F.xxhash64(whole_text()).alias("node"), whole_text().alias("text"))
     texts = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     sets = stored(texts.mapInArrow(hashed, "node long, size long, sets array<long>"), "crowded-sets")
 
@@ -545,7 +546,9 @@ def _similar(width: int, similarity: float):
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
-    """doc_id and component_id of groups linked by Jaccard similarity of word shingles.
+    """doc_id, component_id (the smallest of the group) and of_row, of groups linked by Jaccard similarity.
+
+    ``of_row`` is a hash of the row's id and text.
 
     A SimHash of all shingles stays within ``max_bits`` bits for close copies only; at a
     similarity of 0.8 about ten of 64 bits differ.  So besides the deletion-variant index
@@ -555,11 +558,16 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     bucket are tried in two rounds: first some that link most copies, then all pairs
     between the groups that are left.  Groups come from verified links only.
     """
-    sketches = stored(docs.select("doc_id", whole_text().alias("text")).mapInArrow(
-        _sketches(width), f"doc_id {dict(docs.dtypes)['doc_id']}, wording binary, fp long, tables array<long>"
+    text = whole_text()
+    fields = docs.select("doc_id", F.xxhash64(text).alias("of_text"), _of_row().alias("of_row"), text.alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    sketches = stored(fields.mapInArrow(
+        _sketches(width), f"doc_id {kind}, of_text long, of_row long, wording binary, fp long, tables array<long>"
     ), "sketches")
-    texts = sketches.groupBy("wording").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("tables").alias("tables"))
-    texts = stored(texts.where("node is not null"), "wordings")
+    # One text, by its hash, stands for all that have the same words.
+    texts = stored(sketches.groupBy("wording").agg(
+        F.min("of_text").alias("node"), F.first("fp").alias("fp"), F.first("tables").alias("tables")
+    ), "wordings")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Texts of one group of near fingerprints are a bucket: links() gives only its spanning forest.
     by_print = texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n"))
@@ -577,8 +585,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     pairs = stored(found.where("slot is null and a < b").select("a", "b").distinct(), "near-pairs")
     crowded = found.where("slot is not null").select("slot", "key", F.col("a").alias("node"))
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Only texts that are in a pair, one row for each document.
-    wanted = docs.select(F.col("doc_id").alias("node"), whole_text().alias("text")).join(met, "node", "left_semi")
+    # Only texts that are in a pair, one row for each text.
+    wanted = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(met, "node", "left_semi")
     wanted = stored(wanted.groupBy("node").agg(F.min("text").alias("text")), "pair-texts")
     both = (
         pairs.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -589,17 +597,26 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     more = _rest_of_buckets(crowded, groups, docs, width, similarity)
     if more is not None:
         groups = components(more.unionByName(groups.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-    named = texts.join(groups, "node", "left").select("wording", F.coalesce("root", "node").alias("component_id"))
-    return sketches.join(named, "wording", "left").select("doc_id", "component_id")
+    named = texts.join(groups, "node", "left").select("wording", F.coalesce("root", "node").alias("root"))
+    found = stored(sketches.select("doc_id", "of_row", "wording").join(named, "wording").select("doc_id", "of_row", "root"), "near-groups")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "root").select("doc_id", "component_id", "of_row", "root")
+
+
+def _of_row() -> Column:
+    return F.xxhash64(F.col("doc_id"), whole_text())
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest doc_id.
 
-    Rows that share a doc_id count as one document, of which one row stays.  Rows
-    without an id can't be told apart by it and stay as they are.
+    Rows without an id come after those with one; of rows that share their id the one with
+    the smaller hash of the text stays, and of repeated rows the one with the smallest hash
+    of all columns, so the choice is the same in every run.
     """
     groups = near_copies(docs, width, similarity)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "of_row")).alias("first")
+    keep = groups.groupBy("root").agg(first).select(F.col("first.of_row").alias("of_row"))
+    rows = docs.select(_of_row().alias("of_row"), as_row(docs).alias("row")).join(keep, "of_row", "left_semi")
+    one = rows.groupBy("of_row").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select(*row_columns(docs))

@@ -241,12 +241,23 @@ def test_near_duplicates(spark, docs, nothing):
 
 
 def test_deduplicate_keeps_one_of_each(spark, docs):
-    kept = [r.doc_id for r in simhash.deduplicate(docs).collect()]
+    clashing = docs.withColumn("row", F.lit(1)).withColumn("of_row", F.lit(2)).withColumn("root", F.lit(3))
+    rows = simhash.deduplicate(clashing).collect()
+    assert rows[0].asDict().keys() == dict.fromkeys(clashing.columns).keys()
+    kept = [r.doc_id for r in rows]
     # 8 and 9 are a copy in capitals and one with a changed ending of 7; 5 and 6 are equal.
     assert sorted(x for x in kept if x is not None) == [i for i in range(len(TEXTS)) if i not in (1, 2, 6, 8, 9)]
     assert None in kept
 
 
+def test_deduplicate_rows_that_share_an_id(spark, nothing):
+    rows = [(1, prose(80, 1)), (1, prose(80, 2)), (1, prose(80, 2)), (None, prose(80, 2)), (None, prose(80, 3)), (None, prose(80, 3)), (2, None), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in simhash.deduplicate(frame).collect())
+    assert kept == Counter([(1, prose(80, 1)), (1, prose(80, 2)), (None, prose(80, 3)), (2, None)])
+    assert simhash.deduplicate(nothing).count() == 0
+
+
 def brute_force_groups(texts, similarity=0.8):
     sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
     parent = list(range(len(texts)))
