@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import HUMIDITY_RANGE, PRESSURE_RANGE, TEMPERATURE_RANGE
+
 
 def time_buckets(obs: DataFrame, since: Column, until: Column, max_points: int) -> DataFrame:
     """Down-sampled history of each station: means, last time, summed rain, count."""
@@ -76,6 +78,25 @@ def upper_median(values: Column) -> Column:
     return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
 
 
+def upper_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The upper of the two middle values of each group, under the value's name.
+
+    From counts per value, which partial sums shrink first; no group's values meet in one row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    running = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    marked = counts.withColumn("running", running).withColumn("total", F.sum("n").over(w))
+    return marked.where(F.col("running") > F.floor(F.col("total") / 2)).groupBy(*keys).agg(F.min(value).alias(value))
+
+
+def spacing_violations(df: DataFrame, key: str, time: str, tie: str, expected_s: float, slack_s: float) -> DataFrame:
+    """Rows whose distance from the reading before differs from the expected one by more than the slack."""
+    w = Window.partitionBy(key).orderBy(time, tie)
+    gap = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 1e6
+    return df.withColumn("gap_s", gap).where(F.abs(F.col("gap_s") - expected_s) > slack_s)
+
+
 def newest(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     """The newest rows, given in ascending order."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(limit).orderBy(*order)
@@ -129,12 +150,14 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def as_geojson(stations: DataFrame) -> DataFrame:
-    """One point feature for each station, as JSON text."""
+    """One point feature for each station, as JSON text; implausible readings are left out."""
+    readings = {"temperature": TEMPERATURE_RANGE, "humidity": HUMIDITY_RANGE, "pressure": PRESSURE_RANGE}
+    kept = [F.when(F.col(n).between(*r), F.col(n)).alias(n) for n, r in readings.items() if n in stations.columns]
     feature = F.to_json(
         F.struct(
             F.lit("Feature").alias("type"),
             F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
-            F.struct("id", "name").alias("properties"),
+            F.struct("id", "name", *kept).alias("properties"),
         )
     )
     return stations.select("id", feature.alias("feature"))

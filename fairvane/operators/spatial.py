@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
+from .history import upper_medians
 from ..constants import EARTH_RADIUS_KM, NEIGHBOURS, RADIUS_KM, SPATIAL_STD_FLOOR, TIME_TOLERANCE_MIN
 from ..functions.physics import haversine_km, reference_distance_km, spatial_raw_score
 from .normalise import valid_coordinates
@@ -257,27 +258,49 @@ def fingerprints(members: DataFrame) -> DataFrame:
         F.avg("lon").alias("lon"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("channels"),
         F.count_if(F.col("direction") > 0).alias("up"),
-        F.sort_array(F.collect_list("magnitude")).alias("sizes"),
         F.count_if("regional").alias("regional"),
     )
-    a = members.select("cluster", F.col("id").alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"))
-    b = members.select("cluster", F.col("id").alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"))
-    widest = (
-        a.join(b, "cluster")
-        .where("a < b")
-        .groupBy("cluster")
-        .agg(F.max(haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))).alias("extent_km"))
-    )
+    widest = extents(members)
+    sizes = upper_medians(members, ["cluster"], "magnitude")
     up_share = F.greatest(F.col("up"), F.col("n") - F.col("up")) / F.col("n")
     return (
         sums.join(widest, "cluster", "left")
+        .join(sizes, "cluster")
         .withColumn("direction", F.when(F.col("up") * 2 >= F.col("n"), 1).otherwise(-1))
-        .withColumn("magnitude", F.get("sizes", F.floor(F.size("sizes") / 2).cast("int")))
         .withColumn("coherence", up_share * F.col("regional") / F.col("n"))
-        .drop("sizes")
     )
 
 
+def extents(members: DataFrame, key: str = "cluster", cell_deg: float = 2.0) -> DataFrame:
+    """The largest distance (extent_km) between two members (id, lat, lon) of each group.
+
+    Members are summed up by cell first.  Two cells can hold the farthest pair only if the
+    distance of two of their members and the sizes of both cells together reach the largest
+    such distance of the group, so members of few cells are compared in pairs.
+    """
+    cell = [F.floor(F.col("lat") / cell_deg).alias("cy"), F.floor(F.col("lon") / cell_deg).alias("cx")]
+    placed = members.select(key, "id", "lat", "lon", *cell)
+    cells = placed.groupBy(key, "cy", "cx").agg(
+        F.min_by(F.struct("lat", "lon"), "id").alias("one"),
+        # No two members of the cell are farther apart than along its sides.
+        ((F.max("lat") - F.min("lat") + F.max("lon") - F.min("lon")) * 111.2 + 1e-6).alias("size"),
+    )
+    left = cells.select(key, *[F.col(x).alias(f"a_{x}") for x in ("cy", "cx", "one", "size")])
+    right = cells.select(key, *[F.col(x).alias(f"b_{x}") for x in ("cy", "cx", "one", "size")])
+    pairs = left.join(right, key).where(F.struct("a_cy", "a_cx") <= F.struct("b_cy", "b_cx"))
+    near = haversine_km(F.col("a_one.lat"), F.col("a_one.lon"), F.col("b_one.lat"), F.col("b_one.lon"))
+    pairs = pairs.withColumn("low", near).withColumn("high", F.col("low") + F.col("a_size") + F.col("b_size"))
+    best = pairs.groupBy(key).agg(F.max("low").alias("best"))
+    open_pairs = pairs.join(best, key).where("high >= best").select(key, "a_cy", "a_cx", "b_cy", "b_cx")
+
+    def side(name: str) -> DataFrame:
+        return placed.select(key, *[F.col(x).alias(f"{name}_{x}") for x in ("cy", "cx", "id", "lat", "lon")])
+
+    met = open_pairs.join(side("a"), [key, "a_cy", "a_cx"]).join(side("b"), [key, "b_cy", "b_cx"]).where("a_id <> b_id")
+    far = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return met.groupBy(key).agg(F.max(far).alias("extent_km"))
+
+
 def numbered(clusters_: DataFrame) -> DataFrame:
     """Clusters in canonical order by centre (six decimals) and smallest member.
 

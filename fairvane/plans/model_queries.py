@@ -9,6 +9,7 @@ from ..operators import multivariate as M
 from ..operators import temporal as T
 from ..operators.tracking import tracked
 from .core_queries import temporal_layer
+from .network_queries import NOW
 from .registry import query
 from .stand_ins import OBSERVATIONS_SQL as OBS
 from .stand_ins import STATIONS_SQL as ST
@@ -104,43 +105,50 @@ def q_buckets(spark, sf):
     return temporal_layer(steps, "temperature").groupBy("scenario_id").agg(T.status_of(worst).alias("bucket"))
 
 
-_SNAP = "SELECT o_custkey % {m} AS id, o_orderkey % 300 AS member, o_totalprice / 1e5 AS size FROM orders WHERE o_orderkey % {k} = 0"
+_SNAP = "SELECT CAST({of} AS BIGINT) AS id, {list}(c_custkey) AS members, 10 + avg(c_custkey % 20) AS lat, 70 + avg(c_custkey % 20) AS lon, avg(c_acctbal / 1e3) AS magnitude, count(*) AS n FROM customer GROUP BY 1"
 
 
-@query("ST15_event_tracking")
+@query(
+    "ST15_event_tracking",
+    f"""WITH p AS ({_SNAP.format(of='floor(c_custkey / 12)', list='list')}), q AS ({_SNAP.format(of=NOW, list='list')}),
+pm AS (SELECT id AS event, unnest(members) AS m FROM p), qm AS (SELECT id AS cluster, unnest(members) AS m FROM q), l AS (SELECT DISTINCT event, cluster FROM pm JOIN qm USING (m)),
+j AS (SELECT *, count(*) OVER (PARTITION BY event) AS be, count(*) OVER (PARTITION BY cluster) AS bc FROM l), k AS (SELECT event, cluster, CASE WHEN be > 1 THEN 'SPLIT_AMBIGUOUS' WHEN bc > 1 THEN 'MERGE' ELSE 'CONTINUE' END AS kind FROM j)
+SELECT 'E' || event AS name, 'ACTIVE' AS status, concat_ws(',', CASE WHEN 2 * 6371.0 * asin(sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))) > 125 THEN 'MOVING' END, CASE WHEN q.magnitude - p.magnitude >= 1 THEN 'INTENSIFYING' WHEN q.magnitude - p.magnitude <= -1 THEN 'WEAKENING' END, CASE WHEN q.n > p.n THEN 'GROWING' WHEN q.n < p.n THEN 'SHRINKING' END) AS flags FROM k JOIN p ON p.id = event JOIN q ON q.id = cluster WHERE kind = 'CONTINUE'
+UNION ALL SELECT 'N' || q.id, 'NEW', coalesce((SELECT max(kind) FROM k WHERE k.cluster = q.id AND kind <> 'CONTINUE'), '') FROM q WHERE q.id NOT IN (SELECT cluster FROM k WHERE kind = 'CONTINUE')
+UNION ALL SELECT 'E' || p.id, 'DISAPPEARED', '' FROM p WHERE p.id NOT IN (SELECT event FROM k WHERE kind = 'CONTINUE')""",
+)
 def q_tracking(spark, sf):
-    orders = table(spark, sf, "orders")
-
-    def snapshot(mod: int, every: int):
-        some = orders.where(f"o_orderkey % {every} = 0")
-        return some.groupBy((c("o_custkey") % mod).alias("id")).agg(
-            F.collect_set(c("o_orderkey") % 300).alias("members"),
-            (10 + F.avg(c("o_orderkey") % 20)).alias("lat"),
-            (70 + F.avg(c("o_orderkey") % 20)).alias("lon"),
-            F.avg(c("o_totalprice") / 1e5).alias("magnitude"),
+    def snapshot(of: str):
+        return table(spark, sf, "customer").groupBy(F.expr(f"CAST({of} AS BIGINT)").alias("id")).agg(
+            F.collect_set("c_custkey").alias("members"),
+            (10 + F.avg(c("c_custkey") % 20)).alias("lat"),
+            (70 + F.avg(c("c_custkey") % 20)).alias("lon"),
+            F.avg(c("c_acctbal") / 1e3).alias("magnitude"),
         )
 
-    return tracked(snapshot(40, 97), snapshot(35, 89))
+    return tracked(snapshot("floor(c_custkey / 12)"), snapshot(NOW))
 
 
-@query("JN11_cluster_extent", f"WITH {ST}, g AS (SELECT nation, id, lat, lon FROM st WHERE id % 7 = 0) SELECT a.nation, round(max(abs(a.lat - b.lat) + abs(a.lon - b.lon)), 6) AS extent FROM g a JOIN g b ON a.nation = b.nation AND a.id < b.id GROUP BY 1")
+@query(
+    "JN11_cluster_extent",
+    f"WITH {ST} SELECT a.nation, round(max(2 * 6371.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 4) AS extent_km FROM st a JOIN st b ON a.nation = b.nation AND a.id < b.id GROUP BY 1",
+)
 def q_extent(spark, sf):
-    g = stations(spark, sf).where("id % 7 = 0").select("nation", "id", "lat", "lon")
-    b = g.select("nation", c("id").alias("b"), c("lat").alias("blat"), c("lon").alias("blon"))
-    far = F.abs(c("lat") - c("blat")) + F.abs(c("lon") - c("blon"))
-    return g.join(b, "nation").where("id < b").groupBy("nation").agg(F.round(F.max(far), 6).alias("extent"))
+    from ..operators.spatial import extents
+
+    return extents(stations(spark, sf), "nation").select("nation", F.round("extent_km", 4).alias("extent_km"))
 
 
 @query(
     "JN12_opposite_season",
-    "WITH m AS (SELECT o_orderpriority AS city, month(o_orderdate) AS mo, arg_min(o_orderkey, (o_orderkey * 2654435761 % 1000, o_orderkey)) AS pick FROM orders GROUP BY ALL) SELECT o.o_orderkey, m.pick FROM orders o JOIN m ON m.city = o.o_orderpriority AND m.mo = (month(o.o_orderdate) + 5) % 12 + 1 WHERE o.o_orderkey % 10 = 0",
+    "WITH m AS (SELECT o_orderpriority AS city, month(o_orderdate) AS mo, arg_min(o_orderkey, (o_orderkey * 2654435761 % 1000, o_orderkey)) AS pick FROM orders GROUP BY ALL) SELECT o.o_orderkey, m.pick FROM orders o JOIN m ON m.city = o.o_orderpriority AND m.mo = (month(o.o_orderdate) + 5) % 12 + 1",
 )
 def q_season(spark, sf):
     orders = table(spark, sf, "orders")
     picks = orders.groupBy(c("o_orderpriority").alias("city"), F.month("o_orderdate").alias("mo")).agg(
         F.min_by("o_orderkey", F.struct(c("o_orderkey") * 2654435761 % 1000, "o_orderkey")).alias("pick")
     )
-    some = orders.where("o_orderkey % 10 = 0").select("o_orderkey", c("o_orderpriority").alias("city"), ((F.month("o_orderdate") + 5) % 12 + 1).alias("mo"))
+    some = orders.select("o_orderkey", c("o_orderpriority").alias("city"), ((F.month("o_orderdate") + 5) % 12 + 1).alias("mo"))
     return some.join(picks, ["city", "mo"]).select("o_orderkey", "pick")
 
 
@@ -176,10 +184,10 @@ def q_display(spark, sf):
     return table(spark, sf, "customer").join(last, "c_custkey", "left").select("c_custkey", label.alias("label"))
 
 
-@query("EXT04_narrative", "SELECT o_orderkey AS incident, 0 AS stage, 'detected' AS what FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT o_orderkey, 1, 'reviewed' FROM orders WHERE o_orderkey % 20 = 0 AND o_orderstatus <> 'O' UNION ALL SELECT l_orderkey, 2, l_linestatus FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("EXT04_narrative", "SELECT o_orderkey AS incident, 0 AS stage, 'detected' AS what FROM orders UNION ALL SELECT o_orderkey, 1, 'reviewed' FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT l_orderkey, 2, l_linestatus FROM lineitem")
 def q_narrative(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderkey % 20 = 0")
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0")
+    orders = table(spark, sf, "orders")
+    lines = table(spark, sf, "lineitem")
     parts = [
         orders.selectExpr("o_orderkey AS incident", "0 AS stage", "'detected' AS what"),
         orders.where("o_orderstatus <> 'O'").selectExpr("o_orderkey AS incident", "1 AS stage", "'reviewed' AS what"),
@@ -195,10 +203,10 @@ def q_sentence(spark, sf):
     return table(spark, sf, "events").select("event_id", F.concat(F.lit("Triggered: "), F.when(text == "", "none").otherwise(text)).alias("summary"))
 
 
-@query("EXT15_synthetic_day", f"WITH {ST} SELECT id, h.range AS hour, round(temperature + 4 * sin(2 * pi() * (h.range - 9) / 24), 6) AS temperature FROM st, range(24) h WHERE id % 10 = 0")
+@query("EXT15_synthetic_day", f"WITH {ST} SELECT id, h.range AS hour, round(temperature + 4 * sin(2 * pi() * (h.range - 9) / 24), 6) AS temperature FROM st, range(24) h")
 def q_day(spark, sf):
     hours = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("hour")
-    day = stations(spark, sf).where("id % 10 = 0").select("id", "temperature", hours)
+    day = stations(spark, sf).select("id", "temperature", hours)
     return day.select("id", "hour", F.round(c("temperature") + 4 * F.sin(2 * F.pi() * (c("hour") - 9) / 24), 6).alias("temperature"))
 
 
@@ -221,10 +229,24 @@ def q_demo(spark, sf):
     return spark.range(100).select(tick.alias("tick"), (24.0 + tick % 3 + F.when(tick % 4 == 0, 15).otherwise(0)).alias("temperature"))
 
 
-@query("EXT31_pipeline_stages", "SELECT event_id, unnest(['ingest', 'physics', 'temporal', 'spatial', 'fusion']) AS stage FROM events WHERE event_id % 50 = 0")
+_TEN = ["ingest", "normalise", "quality", "physics", "temporal", "multivariate", "spatial", "drift", "fusion", "diagnosis"]
+_MISSING = "(temperature IS NULL)::INT + (pressure IS NULL)::INT + (humidity IS NULL)::INT"
+
+
+@query(
+    "EXT31_pipeline_stages",
+    f"""WITH {OBS}, a AS (SELECT event_id, {_MISSING} AS m, value FROM obs), s AS (SELECT event_id, m, value, unnest({_TEN}) AS stage, unnest(range(1, 11)) AS number FROM a)
+SELECT event_id, number::INT AS number, stage, CASE WHEN m = 3 AND number > 2 THEN 'SKIPPED' WHEN number = 3 AND m > 0 THEN 'DEGRADED' WHEN number = 5 AND value > 70 THEN 'TRIGGERED' ELSE 'OK' END AS state FROM s""",
+)
 def q_stages(spark, sf):
-    stages = F.array(*[F.lit(x) for x in ("ingest", "physics", "temporal", "spatial", "fusion")])
-    return table(spark, sf, "events").where("event_id % 50 = 0").select("event_id", F.explode(stages).alias("stage"))
+    missing = sum((c(x).isNull().cast("int") for x in CH), F.lit(0))
+    at = observations(spark, sf).select("event_id", missing.alias("m"), "value", F.posexplode(F.array(*[F.lit(x) for x in _TEN])).alias("i", "stage"))
+    number = c("i") + 1
+    state = (
+        F.when((c("m") == 3) & (number > 2), "SKIPPED").when((number == 3) & (c("m") > 0), "DEGRADED")
+        .when((number == 5) & (c("value") > 70), "TRIGGERED").otherwise("OK")
+    )
+    return at.select("event_id", number.alias("number"), "stage", state.alias("state"))
 
 
 @query("EXT32_drift_reference", f"WITH {OBS} SELECT event_id, CASE WHEN temperature IS NOT NULL THEN 'SPATIAL' WHEN pressure IS NOT NULL THEN 'BACKGROUND' ELSE 'RAW' END AS mode, coalesce(temperature, pressure, value) AS reference FROM obs")

@@ -112,7 +112,7 @@ def q_attribution(spark, sf):
     return out.select("id", "n", "supporting", "opposing", F.round("regional", 5).alias("regional"), F.round("isolated", 5).alias("isolated"), "classification")
 
 
-_LEANS = "leans AS (SELECT event_id % 500 AS id, CASE event_id % 7 WHEN 0 THEN 'REGIONAL' WHEN 1 THEN 'ISOLATED' ELSE 'NOT_ANOMALOUS' END AS classification, CAST(event_id * 13 % 100 AS DOUBLE) / 100 AS strength FROM events WHERE event_id % 500 < event_id / 4)"
+_LEANS = "leans AS (SELECT event_id % 500 AS id, CASE event_id % 7 WHEN 0 THEN 'REGIONAL' WHEN 1 THEN 'ISOLATED' ELSE 'NOT_ANOMALOUS' END AS classification, CAST(event_id * 13 % 100 AS DOUBLE) / 100 AS strength FROM events)"
 
 
 @query(
@@ -122,7 +122,7 @@ SELECT id, CASE WHEN regional + isolated = 0 OR (regional > 0 AND isolated > 0)
 CASE WHEN regional / 20.0 > 0.25 AND regional >= 3 * isolated THEN 'SUPPORTED_REGIONAL' WHEN isolated / 20.0 > 0.25 AND isolated >= 3 * regional THEN 'SUPPORTED_ISOLATED' WHEN regional / 20.0 > 0.25 OR isolated / 20.0 > 0.25 THEN 'AMBIGUOUS' ELSE 'CONTRADICTED' END AS counterfactual FROM g""",
 )
 def q_verdicts(spark, sf):
-    leans = table(spark, sf, "events").where("event_id % 500 < event_id / 4").selectExpr(
+    leans = table(spark, sf, "events").selectExpr(
         "event_id % 500 AS id",
         "CASE event_id % 7 WHEN 0 THEN 'REGIONAL' WHEN 1 THEN 'ISOLATED' ELSE 'NOT_ANOMALOUS' END AS classification",
         "CAST(event_id * 13 % 100 AS DOUBLE) / 100 AS strength",
@@ -131,18 +131,18 @@ def q_verdicts(spark, sf):
     return out.select("id", "attribution", S.counterfactual(c("regional") / 20, c("isolated") / 20).alias("counterfactual"))
 
 
-_SPARSE = "sp AS (SELECT id, lat, lon, temperature FROM st WHERE id % 9 = 0)"
-_COMPONENTS = f"""WITH RECURSIVE {ST}, {_SPARSE}, e AS (SELECT a.id AS x, b.id AS y FROM sp a, sp b WHERE a.id <> b.id AND 2 * 6371.0 * atan2(sqrt({_hav('a', 'b')}), sqrt(greatest(0.0, 1 - ({_hav('a', 'b')})))) <= 60),
+_POINTS = "sp AS (SELECT id, lat, lon, temperature FROM st)"
+_COMPONENTS = f"""WITH RECURSIVE {ST}, {_POINTS}, e AS (SELECT a.id AS x, b.id AS y FROM sp a, sp b WHERE a.id <> b.id AND 2 * 6371.0 * atan2(sqrt({_hav('a', 'b')}), sqrt(greatest(0.0, 1 - ({_hav('a', 'b')})))) <= 60),
 reach AS (SELECT DISTINCT x AS id, x AS l FROM e UNION SELECT e.y, reach.l FROM reach JOIN e ON e.x = reach.id), comp AS (SELECT id, min(l) AS cluster FROM reach GROUP BY id)"""
 
 
-def _sparse(spark, sf):
-    return stations(spark, sf).where("id % 9 = 0").select("id", "lat", "lon", "temperature")
+def _points(spark, sf):
+    return stations(spark, sf).select("id", "lat", "lon", "temperature")
 
 
 @query("MDL07_clusters", _COMPONENTS + " SELECT id, cluster FROM comp")
 def q_clusters(spark, sf):
-    return S.clusters(_sparse(spark, sf), 60.0)
+    return S.clusters(_points(spark, sf), 60.0)
 
 
 @query(
@@ -154,7 +154,7 @@ g AS (SELECT cluster, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, count(*)
 SELECT cluster, n, round(lat, 6) AS lat, round(lon, 6) AS lon, round(ext, 4) AS extent_km, CASE WHEN up * 2 >= n THEN 1 ELSE -1 END AS direction, sizes[len(sizes) // 2 + 1] AS magnitude, round(greatest(up, n - up) / n * (regional / n), 6) AS coherence, members FROM g JOIN x USING (cluster)""",
 )
 def q_fingerprints(spark, sf):
-    points = _sparse(spark, sf)
+    points = _points(spark, sf)
     members = S.clusters(points, 60.0).join(points, "id").select(
         "cluster",
         "id",
@@ -172,23 +172,22 @@ def q_fingerprints(spark, sf):
     )
 
 
-_GROUPS = (
-    "pv AS (SELECT o_custkey % 60 AS id, o_orderkey % 400 AS m FROM orders WHERE o_orderkey % 5 = 0)",
-    "cu AS (SELECT o_custkey % 45 AS id, o_orderkey % 400 AS m FROM orders WHERE o_orderkey % 7 = 0)",
-)
+#: Members of earlier events, and of current clusters: a third goes on, a third merges, a third splits.
+NOW = "CASE floor(c_custkey / 240) % 3 WHEN 0 THEN floor(c_custkey / 12) WHEN 1 THEN 100000000 + floor(c_custkey / 24) ELSE 200000000 + floor(c_custkey / 6) END"
+_GROUPS = f"p AS (SELECT floor(c_custkey / 12)::BIGINT AS id, c_custkey AS m FROM customer), q AS (SELECT ({NOW})::BIGINT AS id, c_custkey AS m FROM customer)"
 
 
 @query(
     "JN08_SET01_associations",
-    f"""WITH {_GROUPS[0]}, {_GROUPS[1]}, p AS (SELECT DISTINCT id, m FROM pv), q AS (SELECT DISTINCT id, m FROM cu), np AS (SELECT id, count(*) AS n FROM p GROUP BY id), nq AS (SELECT id, count(*) AS n FROM q GROUP BY id),
+    f"""WITH {_GROUPS}, np AS (SELECT id, count(*) AS n FROM p GROUP BY id), nq AS (SELECT id, count(*) AS n FROM q GROUP BY id),
 l AS (SELECT p.id AS event, q.id AS cluster, count(*) AS k FROM p JOIN q USING (m) GROUP BY ALL),
 j AS (SELECT event, cluster, round(k / (np.n + nq.n - k), 6) AS overlap, count(*) OVER (PARTITION BY event) AS be, count(*) OVER (PARTITION BY cluster) AS bc FROM l JOIN np ON np.id = event JOIN nq ON nq.id = cluster)
 SELECT event, cluster, overlap, CASE WHEN be > 1 THEN 'SPLIT_AMBIGUOUS' WHEN bc > 1 THEN 'MERGE' ELSE 'CONTINUE' END AS kind FROM j""",
 )
 def q_associations(spark, sf):
-    orders = table(spark, sf, "orders")
-    sets = lambda mod, by: orders.where(f"o_orderkey % {by} = 0").groupBy((c("o_custkey") % mod).alias("id")).agg(F.collect_set(c("o_orderkey") % 400).alias("members"))
-    return S.associations(sets(60, 5), sets(45, 7)).withColumn("overlap", F.round("overlap", 6))
+    customers = table(spark, sf, "customer")
+    sets = lambda of: customers.groupBy(F.expr(f"CAST({of} AS BIGINT)").alias("id")).agg(F.collect_set("c_custkey").alias("members"))
+    return S.associations(sets("floor(c_custkey / 12)"), sets(NOW)).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(
@@ -533,7 +532,7 @@ def q_change(spark, sf):
     f"WITH {OBS}, a AS (SELECT source, list_sort(list(value)) AS v FROM obs GROUP BY 1) SELECT source, v[len(v) // 2 + 1] AS p50 FROM a",
 )
 def q_upper(spark, sf):
-    return observations(spark, sf).groupBy("source").agg(H.upper_median(F.collect_list("value")).alias("p50"))
+    return H.upper_medians(observations(spark, sf), ["source"], "value").withColumnRenamed("value", "p50")
 
 
 @query("AGG23_duplicate_keys", "SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
@@ -580,6 +579,24 @@ def q_sets(spark, sf):
     return out
 
 
-@query("SNK04_geojson")
+_PLAIN = "CASE WHEN temperature BETWEEN -45 AND 50 THEN temperature END AS temperature, CASE WHEN humidity BETWEEN 0 AND 100 THEN humidity END AS humidity, CASE WHEN pressure BETWEEN 920 AND 1065 THEN pressure END AS pressure"
+
+
+@query(
+    "SNK04_geojson",
+    f"""WITH {ST}, v AS (SELECT id, name, lat, lon, {_PLAIN} FROM (SELECT * REPLACE (temperature * 2 AS temperature) FROM st))
+SELECT id, 'Feature' AS kind, lon, lat, name, round(temperature, 6) AS temperature, round(humidity, 6) AS humidity, pressure IS NULL AS no_pressure FROM v""",
+)
 def q_geojson(spark, sf):
-    return H.as_geojson(stations(spark, sf))
+    """The feature's text read back, so that another engine's JSON writer need not format alike."""
+    made = H.as_geojson(stations(spark, sf).withColumn("temperature", c("temperature") * 2))
+    read = F.from_json(
+        "feature",
+        "type string, geometry struct<coordinates: array<double>>, properties struct<id: long, name: string, temperature: double, humidity: double, pressure: double>",
+    )
+    f = made.select("id", read.alias("f"))
+    return f.select(
+        "id", c("f.type").alias("kind"), F.get("f.geometry.coordinates", F.lit(0)).alias("lon"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"),
+        "f.properties.name", F.round("f.properties.temperature", 6).alias("temperature"), F.round("f.properties.humidity", 6).alias("humidity"),
+        c("f.properties.pressure").isNull().alias("no_pressure"),
+    )
