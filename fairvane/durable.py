@@ -1,16 +1,27 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage, and tables of one's own, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in ``spark.checkpoint.dir``; on a local master without it, in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fairvane.checkpoint.set", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="fairvane-")  # tests on one machine
+        spark.conf.set("fairvane.checkpoint.set", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so lost executors cost a read, not a rerun."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get("fairvane.checkpoint.set", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fairvane-"))  # tests on one machine
-        spark.conf.set("fairvane.checkpoint.set", "true")
+    shared_path(df.sparkSession, "checkpoint")  # sees to the folder
     return df.checkpoint()

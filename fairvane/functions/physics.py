@@ -100,3 +100,20 @@ def cardinal(degrees: Column) -> Column:
     names = "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()
     at = F.pmod(F.floor(degrees / 22.5 + 0.5), F.lit(16)).cast("int")
     return F.when(degrees.isNull(), "CALM").otherwise(F.get(F.array(*[F.lit(n) for n in names]), at))
+
+
+def wet_bulb(temperature: Column, humidity: Column) -> Column:
+    """Wet-bulb temperature at sea-level pressure by the published arctangent fit (Stull 2011)."""
+    t, h = temperature, clip(humidity, 5.0, 99.0)
+    return (
+        t * F.atan(0.151977 * F.sqrt(h + 8.313659))
+        + F.atan(t + h)
+        - F.atan(h - 1.676331)
+        + 0.00391838 * F.pow(h, 1.5) * F.atan(0.023101 * h)
+        - 4.686035
+    )
+
+
+def wet_bulb_veto(temperature: Column, humidity: Column, limit: float = 35.0) -> Column:
+    """Whether the wet bulb exceeds what people survive; null readings veto nothing."""
+    return F.coalesce(wet_bulb(temperature, humidity) > limit, F.lit(False))

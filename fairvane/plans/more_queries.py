@@ -128,23 +128,7 @@ def q_data_quality(spark, sf):
 
 
 @query(
-    "PRJ16_weather_labels",
-    f"""WITH {OBS} SELECT event_id, concat_ws(',', CASE WHEN temperature > 35 THEN 'extreme heat' WHEN temperature < 12 THEN 'cold' END, CASE WHEN pressure < 1000 THEN 'low pressure' WHEN pressure > 1025 THEN 'high pressure' END, CASE WHEN humidity >= 90 THEN 'humid' WHEN humidity <= 32 THEN 'dry' END) AS labels FROM obs""",
-)
-def q_labels(spark, sf):
-    t, p, h = c("temperature"), c("pressure"), c("humidity")
-    labels = F.array_compact(
-        F.array(
-            F.when(t > 35, "extreme heat").when(t < 12, "cold"),
-            F.when(p < 1000, "low pressure").when(p > 1025, "high pressure"),
-            F.when(h >= 90, "humid").when(h <= 32, "dry"),
-        )
-    )
-    return observations(spark, sf).select("event_id", F.concat_ws(",", labels).alias("labels"))
-
-
-@query(
-    "PRJ17_PRJ18_explanations",
+    "PRJ17_explanations",
     """WITH a AS (SELECT event_id, CAST(event_id % 101 AS DOUBLE) / 100 AS conf FROM events) SELECT event_id, CASE WHEN conf >= 0.8 THEN 'HIGH' WHEN conf >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
 CASE WHEN conf >= 0.8 THEN 'Replace or recalibrate the sensor.' WHEN conf >= 0.5 THEN 'Inspect the sensor before acting.' ELSE 'Keep watching; evidence is thin.' END AS action FROM a""",
 )
@@ -204,13 +188,6 @@ def q_ref_join(spark, sf):
     return keyed.join(ref, ["la", "lo"], "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query("JN07_open_incident", "WITH l AS (SELECT user_id, event_type, max(event_id) AS incident FROM events WHERE value > 80 GROUP BY ALL) SELECT e.event_id, l.incident FROM events e LEFT JOIN l ON l.user_id = e.user_id AND l.event_type = e.event_type")
-def q_open(spark, sf):
-    events = table(spark, sf, "events")
-    opened = events.where("value > 80").groupBy("user_id", "event_type").agg(F.max("event_id").alias("incident"))
-    return events.join(opened, ["user_id", "event_type"], "left").select("event_id", "incident")
-
-
 @query("JN09_anti_join", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders)")
 def q_anti(spark, sf):
     return table(spark, sf, "events").join(table(spark, sf, "orders").select(c("o_orderkey").alias("event_id")), "event_id", "left_anti").select("event_id")
@@ -335,7 +312,7 @@ def q_strata(spark, sf):
     return customers.join(n, "c_nationkey").where(u < F.least(F.lit(1.0), 20.0 / c("n"))).select("c_custkey")
 
 
-@query("SET04_SET05_unions", "SELECT n_regionkey AS region, array_to_string(list_sort(list_distinct(list(substr(n_name, 1, 1)))), '') AS initials FROM nation GROUP BY 1")
+@query("SET05_unions", "SELECT n_regionkey AS region, array_to_string(list_sort(list_distinct(list(substr(n_name, 1, 1)))), '') AS initials FROM nation GROUP BY 1")
 def q_unions(spark, sf):
     return table(spark, sf, "nation").groupBy(c("n_regionkey").alias("region")).agg(F.concat_ws("", F.array_sort(F.collect_set(F.substring("n_name", 1, 1)))).alias("initials"))
 

@@ -109,3 +109,93 @@ def test_deduplicated_stream_keeps_one_row(spark, tmp_path):
     stream = job.deduplicated(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
     job.run_available(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_history_state_equals_the_windows(spark):
+    """Without a frozen run that ends, keyed history scores as the windows do; it goes on over batches."""
+    from fairvane.operators import temporal as T
+    from fairvane.streaming import history_state as HS
+
+    rng = np.random.default_rng(4)
+    rows = [(s, s * 1000 + i, 600_000_000 * (i + 1), "MEASURED", float(np.round(20 + rng.normal() + 9 * (i % 37 == 36), 2))) for s in (1, 2) for i in range(120)]
+    rows += [(3, 3000 + i, 600_000_000 * (i + 1), "MEASURED", None if i % 9 == 0 else float(i % 5)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "station_id long, event_id long, observed_us long, source string, temperature double")
+    timed = frame.withColumn("observed_at", F.timestamp_micros("observed_us"))
+    w = T.ordered()
+    want = {r.event_id: r.z_score for r in T.with_modified_z(timed, "temperature", w).collect()}
+    got = {r.event_id: r for r in HS.history_batch(frame, "temperature").collect()}
+    assert got.keys() == want.keys() and max(want.values()) > 0
+    # rows without a value aren't in the deque, while a window of 72 rows counts them
+    assert all(got[e].z_score == pytest.approx(want[e], abs=1e-9) for e in want if e < 3000)
+    held, whole = {}, {}
+    values = [(r[2] / 1e6, r[4]) for r in rows if r[0] == 1]
+    together = list(HS.kernel(whole, values, 0.2))
+    assert [x for part in (values[:50], values[50:51], values[51:]) for x in HS.kernel(held, part, 0.2)] == together and held == whole
+
+
+def test_frozen_runs_leave_the_history():
+    from fairvane.streaming import history_state as HS
+
+    readings = [(600.0 * i, 20 + (i % 7) / 10) for i in range(30)]
+    readings += [(600.0 * i, 25.0) for i in range(30, 50)]  # stuck for 200 minutes
+    readings += [(600.0 * 50, 20.3)]
+    out = list(HS.kernel({}, readings, 0.2))
+    assert out[49][0] == 0.95 and out[41][0] == 0.95 and out[36][0] == 0.0
+    assert out[50][2] == 20 and out[50][3] == 31
+    assert out[50][1] == 0.0
+
+
+def test_sources_change_resets_history(spark):
+    from fairvane.streaming import history_state as HS
+
+    rows = [(1, i, 1000 * i, "A" if i < 40 else "B", float(i % 5)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "station_id long, event_id long, observed_us long, source string, temperature double")
+    got = {r.event_id: r for r in HS.history_batch(frame, "temperature").collect()}
+    assert got[39].history == 40 and got[59].history == 20
+
+
+def test_history_stream_over_batches_equals_the_table(spark, tmp_path):
+    from fairvane.streaming import history_state as HS
+
+    rng = np.random.default_rng(9)
+    schema = "station_id long, event_id long, observed_us long, source string, temperature double"
+    rows = [(s, s * 1000 + i, 600_000_000 * (i + 1), "MEASURED", float(np.round(20 + rng.normal(), 1))) for i in range(50) for s in (1, 2)]
+    for n, part in enumerate((rows[:60], rows[60:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        query = (
+            HS.history_stream(stream, "temperature").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+            .option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        )
+        assert query.awaitTermination(120)
+    got = {r.event_id: tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {r.event_id: tuple(r) for r in HS.history_batch(spark.createDataFrame(rows, schema), "temperature").collect()}
+    assert got == want and len(got) == 100
+
+
+def test_extents_equal_all_pairs(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    rows = [(int(g), i, float(8 + 20 * rng.random()), float(70 + 20 * rng.random())) for i, g in enumerate(rng.integers(0, 4, 160))]
+    frame = spark.createDataFrame(rows, "cluster long, id long, lat double, lon double")
+    got = {r.cluster: r.extent_km for r in S.extents(frame).collect()}
+
+    def km(a, b):
+        la, lb = np.radians(a[2]), np.radians(b[2])
+        h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(np.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371.0 * np.arcsin(np.sqrt(h))
+
+    for g in {r[0] for r in rows}:
+        assert got[g] == pytest.approx(max(km(a, b) for a, b in combinations([r for r in rows if r[0] == g], 2)))
+
+
+def test_readings_with_units(spark):
+    from fairvane.functions import parsing as X
+
+    row = one(
+        spark, X.temperature_reading(F.lit("68 F")), X.temperature_reading(F.lit("-3.25C")), X.temperature_reading(F.lit("warm")),
+        X.humidity_reading(F.lit("61.4 %")), X.wind_reading(F.lit("10 m/s")), X.wind_reading(F.lit("12")), X.pressure_reading(F.lit("29.92 inHg")),
+        X.any_time(F.lit("Wed, 21 Oct 2015 07:28:00 GMT")).cast("string"), X.any_time(F.lit("soon")),
+    )
+    assert tuple(row) == (20.0, -3.3, None, 61, 36.0, 12.0, 1013.2, "2015-10-21 07:28:00", None)
