@@ -59,25 +59,36 @@ FEATURES = [
 ]
 
 
-def _located(text: Column, pattern: str, group: int) -> Column:
-    """All matches of ``pattern`` as structs of value (the group, which ends its match) and at (from 1)."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.length(gap) + F.coalesce(F.length(m), F.lit(0)))
-    # The last element after each match is the number of characters before its end.
-    ends = F.aggregate(
-        steps, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))
-    )
-    return F.zip_with(
-        values,
-        F.slice(ends, F.lit(2), F.size(values)),
-        lambda v, end: F.struct(v.alias("value"), (end - F.length(v) + 1).alias("at")),
+def _located(text: Column, pattern: str, group: int, possible: Column) -> Column:
+    """All matches of ``pattern`` as structs of value (the group, which ends its match) and at (from 1).
+
+    ``possible`` is a cheaper test that every text with a match passes.
+    """
+
+    def placed(whole: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        steps = F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.length(gap) + F.coalesce(F.length(m), F.lit(0)))
+        # The last element after each match is the number of characters before its end.
+        ends = F.aggregate(steps, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+        return F.zip_with(
+            values,
+            F.slice(ends, F.lit(2), F.size(values)),
+            lambda v, end: F.struct(v.alias("value"), (end - F.length(v) + 1).alias("at")),
+        )
+
+    nothing = F.array().cast("array<struct<value:string,at:int>>")
+    found = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: F.when(F.size(whole) > 0, placed(whole)).otherwise(nothing)
     )
+    return F.when(possible, found).otherwise(nothing)
 
 
 def occurrences(text: Column) -> Column:
     """Every place of a candidate value in a text, as an array of structs of value and at."""
-    found = F.concat(_located(text, TOKEN, 0), _located(text, ASSIGNED, 1), _located(text, QUOTED, 1))
+    assigns = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    found = F.concat(
+        _located(text, TOKEN, 0, text.rlike("[0-9]")), _located(text, ASSIGNED, 1, assigns), _located(text, QUOTED, 1, assigns)
+    )
     trimmed = F.transform(
         found,
         lambda c: F.struct(
@@ -86,7 +97,7 @@ def occurrences(text: Column) -> Column:
         ),
     )
     long_enough = F.filter(trimmed, lambda c: F.length(c.getField("value")) >= 6)
-    return F.array_distinct(F.concat(long_enough, _located(text, KEY_BLOCK, 0)))
+    return F.array_distinct(F.concat(long_enough, _located(text, KEY_BLOCK, 0, F.contains(text, F.lit("PRIVATE KEY")))))
 
 
 def described(occurrence: Column, text: Column, path: Column, dictionary: list[str]) -> Column:
