@@ -130,6 +130,11 @@ def units_of(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def damped(count: int) -> float:
+    """A word's weight for its count in a passage: repeats of common words count little."""
+    return 1 + math.log(count) if count else 0.0
+
+
 class Passage:
     """The cosine of a growing list of words to each template."""
 
@@ -144,9 +149,10 @@ class Passage:
             idf = m.idf.get(w, m.unknown)
             c = self.count[w]
             self.count[w] = c + 1
-            self.square += idf * idf * (2 * c + 1)
+            before, after = damped(c) * idf, damped(c + 1) * idf
+            self.square += after * after - before * before
             for t, weight in m.holders.get(w, ()):
-                self.dots[t] += idf * weight
+                self.dots[t] += (after - before) * weight
             self.anchored += w in m.anchors
 
     def best(self) -> tuple[float, str]:
@@ -168,7 +174,7 @@ class Matcher:
         self.holders: dict[str, list[tuple[int, float]]] = {}
         self.anchors: set[str] = set()
         for t, (name, text) in enumerate(TEMPLATES):
-            weights = {w: c * self.idf[w] for w, c in Counter(words_in(text)).items()}
+            weights = {w: damped(c) * self.idf[w] for w, c in Counter(words_in(text)).items()}
             size = math.sqrt(sum(x * x for x in weights.values()))
             self.templates.append((name, size))
             rest = size * size

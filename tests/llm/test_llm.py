@@ -768,7 +768,7 @@ def best_by_force(matcher, text):
     best = (0.0, "", 0, 0)
 
     def vector(words):
-        return {w: c * matcher.idf.get(w, matcher.unknown) for w, c in Counter(words).items()}
+        return {w: licences.damped(c) * matcher.idf.get(w, matcher.unknown) for w, c in Counter(words).items()}
 
     for i in range(len(units)):
         for j in range(i, len(units)):
