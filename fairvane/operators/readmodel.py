@@ -204,3 +204,51 @@ def last_against_group(df: DataFrame, key: str, value: str, order: list[str], fl
     last = known.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("last"))
     out = last.join(median, key).join(middle(apart, "d", "mad"), key)
     return out.withColumn("z", 0.6745 * F.abs(F.col("last") - F.col("median")) / F.greatest(F.col("mad"), F.lit(floor)))
+
+
+def incident_snapshots(stations: DataFrame, alerts: DataFrame) -> DataFrame:
+    """What an incident is made from: each station's latest alert, where it calls for one.
+
+    ``stations`` has id, name, region, offline and freshness; ``alerts`` station_id, event_id,
+    observed_at, status, severity_score and confidence.  Stations that are offline, without an
+    alert or with another status than WARNING or ANOMALY give none.  A station whose values have
+    no verifiable time is a STATIC_SNAPSHOT, never live.
+    """
+    rest = [c for c in alerts.columns if c != "station_id"]
+    latest = alerts.groupBy("station_id").agg(F.max_by(F.struct(*rest), F.struct("observed_at", "event_id")).alias("alert"))
+    static = F.coalesce(F.col("freshness"), F.lit("UNKNOWN")).isin("UNKNOWN", "MISSING")
+    met = stations.join(latest, F.col("id") == F.col("station_id")).where("not offline and alert.status in ('WARNING', 'ANOMALY')")
+    return met.select(
+        "station_id",
+        F.col("name").alias("station_name"),
+        "region",
+        F.col("alert.status").alias("status"),
+        F.round("alert.severity_score", 3).alias("anomaly_score"),
+        F.round("alert.confidence", 3).alias("confidence"),
+        F.col("alert.observed_at").alias("observed_at"),
+        F.when(static, "STATIC_SNAPSHOT").otherwise("LIVE_AWS").alias("source"),
+    )
+
+
+def recovery(observations: DataFrame, lookback_from: Column, per_station: int = 20) -> DataFrame:
+    """After a restart: each station's last time since ``lookback_from`` (else null) and its last rows to replay."""
+    newest = Window.partitionBy("station_id").orderBy(F.desc("observed_at"), F.desc("event_id"))
+    rows = observations.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= per_station)
+    last = F.max(F.when(F.col("observed_at") >= lookback_from, F.col("observed_at")))
+    return rows.groupBy("station_id").agg(
+        last.alias("last_observed"), F.count("*").alias("replayed"), F.min("observed_at").alias("replay_from")
+    )
+
+
+def network_recount(stations: DataFrame) -> DataFrame:
+    """Counts of stations by status, staleness, watch, interpretation and kind of source, in one row."""
+    status = [F.count_if(F.col("overall_status") == s).alias(s) for s in ("nominal", "suspect", "degraded", "anomaly")]
+    return stations.agg(
+        F.count("*").alias("live_stations"),
+        *status,
+        F.count_if(F.col("freshness") == "STALE").alias("stale"),
+        F.count_if("watch").alias("watch"),
+        F.count_if(F.col("interpretation") == "likely_weather_event").alias("weather_events"),
+        F.count_if("simulated").alias("simulated"),
+        F.count_if(~F.col("simulated")).alias("measured"),
+    )

@@ -83,10 +83,10 @@ def snapshot(pool: DataFrame, batch: DataFrame, key: str = "id", time: str = "ob
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), time).alias("x")).select(key, "x.*")
 
 
-def run_available(spark: SparkSession, source: DataFrame, sink_path: str, checkpoint: str) -> None:
+def run_available(spark: SparkSession, source: DataFrame, sink_path: str, checkpoint: str, key: str = "event_id") -> None:
     """Process what is there in micro-batches and stop; exactly once into ``sink_path``."""
     query = (
-        source.writeStream.foreachBatch(lambda batch, _: append_once(batch, sink_path, "event_id"))
+        source.writeStream.foreachBatch(lambda batch, _: append_once(batch, sink_path, key))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)

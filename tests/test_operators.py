@@ -199,3 +199,60 @@ def test_readings_with_units(spark):
         X.any_time(F.lit("Wed, 21 Oct 2015 07:28:00 GMT")).cast("string"), X.any_time(F.lit("soon")),
     )
     assert tuple(row) == (20.0, -3.3, None, 61, 36.0, 12.0, 1013.2, "2015-10-21 07:28:00", None)
+
+
+def test_channel_drift_stream_over_batches_equals_the_table(spark, tmp_path):
+    """Also with a change of source, late rows, nulls, saturated humidity and changing references."""
+    from fairvane.streaming import channel_drift as CD
+
+    rng = np.random.default_rng(4)
+    schema = "station_id long, event_id long, observed_us long, source string, channel string, value double, consensus double, background double"
+    rows = []
+    for i in range(80):
+        for station in (1, 2):
+            for channel, base in (("temperature", 20.0), ("humidity", 92.0)):
+                value = None if i % 17 == 5 else float(np.round(base + rng.normal() * 3, 2))
+                near = base if i % 4 else None
+                far = base - 1 if i % 3 else None
+                source = "SIMULATED" if i > 60 else "MEASURED"
+                rows.append((station, len(rows), 600_000_000 * (i - i % 20 // 19), source, channel, value, near, far))
+    for n, part in enumerate((rows[:160], rows[160:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        query = (
+            CD.channel_drift_stream(CD.channel_residuals(stream)).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+            .option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        )
+        assert query.awaitTermination(120)
+    got = {r.event_id: tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    table = spark.createDataFrame(rows, schema)
+    want = {r.event_id: tuple(r) for r in CD.channel_drift_batch(CD.channel_residuals(table)).collect()}
+    assert got == want and any(r[4] for r in want.values())
+    assert {r[2] for r in want.values()} == {"SPATIAL", "BACKGROUND", "RAW"}
+    modes = {r.event_id: r.mode for r in CD.channel_residuals(table).collect()}
+    saturated = {r[1] for r in rows if r[4] == "humidity" and r[5] and (r[6] or r[7]) and max(r[5], r[6] or r[7]) >= 95}
+    assert saturated and {k for k, m in modes.items() if m == "SUSPENDED_SATURATION"} == saturated
+    assert set(want) == set(modes) - saturated
+
+
+def test_estimates_follow_their_order_and_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from fairvane.operators import estimation as E
+
+    rows = [(1, 5.0, True, None, None, 3.333), (2, 5.0, False, 1.0, 2.0, 3.0), (3, None, True, None, 2.005, None), (4, 5.0, True, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, raw double, ok boolean, a double, b double, d double")
+    out = df.select("id", E.estimated(F.col("raw"), F.col("ok"), F.col("a"), F.col("b"), F.lit(None).cast("double"), F.col("d")).alias("x"))
+    assert {r.id: r.x for r in out.collect()} == {1: 3.33, 2: 5.0, 3: 2.01, 4: 5.0}
+
+
+def test_entry_guard_hides_only_the_optional_parts(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "pipeline" not in importlib.reload(entry).queries()
+    monkeypatch.undo()
+    importlib.reload(entry)
