@@ -82,7 +82,7 @@ def exact_groups(
         F.col("row.doc_id").alias("doc_id"),
         F.monotonically_increasing_id().alias("place"),
         "open",
-        (full if digest_all else F.when("open", full)).alias("text_sha256"),
+        (full if digest_all else F.when(F.col("open"), full)).alias("text_sha256"),
     )
     rows = stored(rows, "hashed")
     total = rows.count()
