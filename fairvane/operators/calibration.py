@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
+from .quantiles import medians, quantiles
+
 #: A strong score, thresholds of the sweep, and the limits of the three acceptance checks.
 STRONG = 0.7
 SWEEP = (0.25, 0.40, 0.50, 0.60, 0.75)
@@ -23,12 +26,11 @@ def contributions(records: DataFrame, kind: str, case: str) -> DataFrame:
     cases = records.groupBy(kind, case).agg(
         F.count_if(bad).alias("anomalous"), *[F.max(F.when(bad, F.col(s))).alias(n) for n, s in scores.items()]
     )
-    kinds = cases.groupBy(kind).agg(
-        F.count("*").alias("cases"), F.sum("anomalous").alias("anomalous_rows"), *[F.median(n).alias(n) for n in scores]
-    )
-    normal = records.where(good).groupBy(kind).agg(
-        F.median("rules_score").alias("rules_normal"), F.median("model_score").alias("model_normal")
-    )
+    cases = durable(cases)
+    kinds = cases.groupBy(kind).agg(F.count("*").alias("cases"), F.sum("anomalous").alias("anomalous_rows"))
+    kinds = kinds.join(medians(cases, [kind], list(scores)), kind)
+    normal = records.where(good).select(kind, F.col("rules_score").alias("rules_normal"), F.col("model_score").alias("model_normal"))
+    normal = medians(normal, [kind], ["rules_normal", "model_normal"])
     rules, model = F.col("rules") >= STRONG, F.coalesce(F.col("model"), F.lit(0.0)) >= STRONG
     label = F.when(F.col("rules").isNull(), None).when(rules & model, "B").when(model, "A").otherwise("C")
     return kinds.withColumn("class", label).join(normal, kind, "left")
@@ -60,11 +62,10 @@ def acceptance(features: DataFrame, key: str, pressure_z: str, all_z: list[str])
     c3: few rows have any z far out.  ``accepted`` needs all three.
     """
     far = F.coalesce(F.greatest(*[F.abs(F.col(z)) for z in all_z]) > FAR_Z, F.lit(False)).cast("double")
-    stats = features.groupBy(key).agg(
-        F.median(pressure_z).alias("median_zp"),
-        F.percentile(F.abs(F.col(pressure_z)), F.lit(0.95)).alias("p95_abs_zp"),
-        F.avg(far).alias("far_share"),
-    )
+    stats = features.groupBy(key).agg(F.avg(far).alias("far_share"))
+    middle = quantiles(features, [key], pressure_z, {"median_zp": 0.5}).drop("n")
+    wide = quantiles(features.select(key, F.abs(F.col(pressure_z)).alias("size")), [key], "size", {"p95_abs_zp": 0.95}).drop("n")
+    stats = stats.join(middle, key, "left").join(wide, key, "left")
     checks = {
         "c1": F.col("median_zp").between(*MEDIAN_RANGE),
         "c2": F.col("p95_abs_zp") <= P95_LIMIT,

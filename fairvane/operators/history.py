@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HUMIDITY_RANGE, PRESSURE_RANGE, TEMPERATURE_RANGE
+from .quantiles import quantiles
 
 
 def time_buckets(obs: DataFrame, since: Column, until: Column, max_points: int) -> DataFrame:
@@ -27,10 +28,18 @@ def time_buckets(obs: DataFrame, since: Column, until: Column, max_points: int)
 
 
 def percentile_summary(df: DataFrame, value: str, limit: float) -> DataFrame:
-    qs = F.percentile(value, F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99)]))
-    return df.agg(F.min(value).alias("min"), qs.alias("q"), F.max(value).alias("max"), F.avg(F.when(F.col(value) > limit, 100.0).otherwise(0.0)).alias("pct_over")).select(
-        "min", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))], "max", "pct_over"
-    )
+    """Least, largest, quantiles by selection, and the percentage over a limit; one row."""
+    names = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    plain = df.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(F.when(F.col(value) > limit, 100.0).otherwise(0.0)).alias("pct_over"))
+    both = quantiles(df, [], value, names).select(*names).unionByName(plain, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(x).alias(x) for x in ("min", *names, "max", "pct_over")])
+
+
+def percentile_quartiles(df: DataFrame, value: str) -> DataFrame:
+    """Least, median, upper quartile and largest value; one row."""
+    plain = df.agg(F.min(value).alias("nearest"), F.max(value).alias("widest"))
+    both = quantiles(df, [], value, {"median": 0.5, "p75": 0.75}).drop("n").unionByName(plain, allowMissingColumns=True)
+    return both.agg(*[F.max(x).alias(x) for x in ("nearest", "median", "p75", "widest")])
 
 
 def confusion(df: DataFrame, predicted: Column, actual: Column, keys: list[str]) -> DataFrame:

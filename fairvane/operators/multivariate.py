@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAD_TO_SIGMA
+from ..durable import durable
+from .quantiles import medians
 
 
 def gate(valid: list[Column], convention: Column, elevation: Column, scope: Column) -> Column:
@@ -33,12 +35,10 @@ def rule_score(zs: list[Column]) -> Column:
 
 
 def robust_baseline(df: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
-    """Median and MAD of each channel by key, in two grouped passes."""
-    medians = df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}_median") for c in channels])
-    spread = df.join(medians, keys).groupBy(*keys).agg(
-        *[F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), F.lit(0.5)).alias(f"{c}_mad") for c in channels]
-    )
-    return medians.join(spread, keys)
+    """Median and MAD of each channel by key, by selection; no group's values meet in one place."""
+    middle = durable(medians(df, keys, channels, "_median"))
+    apart = df.join(middle, keys).select(*keys, *[F.abs(F.col(c) - F.col(f"{c}_median")).alias(c) for c in channels])
+    return middle.join(medians(apart, keys, channels, "_mad"), keys)
 
 
 def standardised(df: DataFrame, baseline: DataFrame, keys: list[str], channels: list[str], floors: dict[str, float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,8 +164,12 @@ def spatial_verdict(parameter: str, own_change: Column, changes: Column) -> Colu
 
 
 def ensemble_mean(scores: dict[str, Column], weights: dict[str, float]) -> Column:
-    """Weighted mean over the layers that have a score, their weights made to add up to one; 0 without any."""
-    total = sum((F.when(s.isNotNull(), weights[n]).otherwise(0.0) for n, s in scores.items()), F.lit(0.0))
+    """Weighted mean over the layers that have a score, their weights made to add up to one; 0 without any.
+
+    Weights are added up as decimals, so that the same layers always give the same sum.
+    """
+    exact = {n: F.lit(Decimal(str(w))) for n, w in weights.items()}
+    total = sum((F.when(s.isNotNull(), exact[n]).otherwise(F.lit(Decimal(0))) for n, s in scores.items()), F.lit(Decimal(0))).cast("double")
     summed = sum((F.coalesce(s * weights[n], F.lit(0.0)) for n, s in scores.items()), F.lit(0.0))
     return F.when(total > 0, summed / total).otherwise(0.0)
 

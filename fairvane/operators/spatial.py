@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from .cells import band_height, cells_around, column_of, nearest
+from .cells import clusters as cell_clusters
 from .history import upper_medians
-from ..constants import EARTH_RADIUS_KM, NEIGHBOURS, RADIUS_KM, SPATIAL_STD_FLOOR, TIME_TOLERANCE_MIN
+from ..constants import NEIGHBOURS, RADIUS_KM, SPATIAL_STD_FLOOR, TIME_TOLERANCE_MIN
 from ..functions.physics import haversine_km, reference_distance_km, spatial_raw_score
 from .normalise import valid_coordinates
 
 
-def _band_height(radius_km: float) -> float:
-    """Degrees of latitude that the radius spans, and a little more."""
-    return math.degrees(radius_km / EARTH_RADIUS_KM) * 1.0001
-
-
-def _cells_around(band: Column, radius_km: float) -> Column:
-    """How many cells a band of latitude has; each is at least the radius wide."""
-    height = _band_height(radius_km)
-    edge = F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90))
-    # Longitude a great circle of the radius can span at this latitude.
-    reach = F.lit(math.sin(radius_km / EARTH_RADIUS_KM)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
-    width = F.when(reach >= 1, 360.0).otherwise(F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 1.0001)
-    return F.greatest(F.lit(1), F.floor(360 / width)).cast("long")
-
-
-def _cell(lon: Column, cells: Column) -> Column:
-    return F.pmod(F.floor((lon + 180) / 360 * cells), cells)
-
-
 def pairs_within(left: DataFrame, right: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     """Pairs of rows (columns l_* and r_*) within the radius, as an equi-join on grid cells.
 
@@ -40,7 +20,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_km: float = RADIUS_KM
     right row lies in one cell; a left row probes the cells beside its own in its band of
     latitude and in the two next to it.  Longitude wraps at 180 degrees.
     """
-    height = _band_height(radius_km)
+    height = band_height(radius_km)
     named_l = left.where(valid_coordinates(F.col("lat"), F.col("lon"))).select([F.col(c).alias(f"l_{c}") for c in left.columns])
     named_r = right.where(valid_coordinates(F.col("lat"), F.col("lon"))).select([F.col(c).alias(f"r_{c}") for c in right.columns])
 
@@ -48,12 +28,12 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_km: float = RADIUS_KM
         return F.floor((lat + 90) / height).cast("long")
 
     homes = named_r.withColumn("band", band(F.col("r_lat"))).withColumn(
-        "cell", _cell(F.col("r_lon"), _cells_around(F.col("band"), radius_km))
+        "cell", column_of(F.col("r_lon"), cells_around(F.col("band"), radius_km))
     )
     probes = named_l.withColumn("band", F.explode(F.sequence(band(F.col("l_lat")) - 1, band(F.col("l_lat")) + 1)))
-    cells = _cells_around(F.col("band"), radius_km)
+    cells = cells_around(F.col("band"), radius_km)
     around = F.array_distinct(
-        F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(_cell(F.col("l_lon"), cells) + d, cells))
+        F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column_of(F.col("l_lon"), cells) + d, cells))
     )
     probes = probes.withColumn("cell", F.explode(around))
     met = probes.join(homes, ["band", "cell"]).drop("band", "cell")
@@ -73,13 +53,8 @@ def neighbour_edges(
     station the latest counts.  Distances are rounded to metres; ties go by id.
     """
     latest = readings.groupBy("id").agg(F.max_by(F.struct("lat", "lon", "source", "observed_at"), "observed_at").alias("x"))
-    latest = latest.select("id", "x.*")
-    pairs = pairs_within(latest, latest, radius_km).where("l_id <> r_id and l_source = r_source")
-    apart = F.abs(F.unix_micros(F.col("l_observed_at").cast("timestamp")) - F.unix_micros(F.col("r_observed_at").cast("timestamp")))
-    near = pairs.where(apart <= tolerance_min * 60e6).withColumn("distance", F.round("distance", 3))
-    nearest = Window.partitionBy("l_id").orderBy("distance", "r_id")
-    ranked = near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select(F.col("l_id").alias("id"), F.col("r_id").alias("neighbour"), "distance", "rank")
+    latest = latest.select("id", "x.*").withColumn("at_us", F.unix_micros(F.col("observed_at").cast("timestamp")))
+    return nearest(latest, k, radius_km, ("source",), "at_us", int(tolerance_min * 60e6))
 
 
 def exclusion_counts(readings: DataFrame, radius_km: float, tolerance_min: float) -> DataFrame:
@@ -225,23 +200,11 @@ def nearest_reference(points: DataFrame, cities: DataFrame, limit_km: float = 75
 def clusters(points: DataFrame, eps_km: float = 125.0) -> DataFrame:
     """Density clusters with a minimum of two points: components of the eps graph.
 
-    With two points enough, every linked point is a core point, so clusters are the
-    connected components.  Labels sink to the smallest id by rounds of joins, and jump
-    along the label graph, so rounds grow with the logarithm of a cluster's diameter.
+    With two points enough, every linked point is a core point, so clusters are the connected
+    components; the smallest id is the label.
     """
-    edges = pairs_within(points.select("id", "lat", "lon"), points.select("id", "lat", "lon"), eps_km)
-    edges = edges.where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
-    edges = durable(edges)
-    labels = edges.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("label"))
-    while True:
-        around = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        sunk = labels.join(around.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "m").alias("label"))
-        jump = sunk.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        after = durable(sunk.join(jump, "label").select("id", F.least("label", "further").alias("label")))
-        changed = after.join(labels.withColumnRenamed("label", "before"), "id").where("label <> before").limit(1).count()
-        labels = after
-        if not changed:
-            return labels.select("id", F.col("label").alias("cluster"))
+    found = cell_clusters(points, eps_km)
+    return found.join(found.groupBy("cluster").agg(F.min("id").alias("least")), "cluster").select("id", F.col("least").alias("cluster"))
 
 
 def fingerprints(members: DataFrame) -> DataFrame:

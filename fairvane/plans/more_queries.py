@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import physics as P
+from ..operators import cells as CE
 from ..operators import history as H
 from ..operators import normalise as N
+from ..operators import quantiles as QS
 from ..operators import spatial as S
 from ..operators import temporal as T
 from ..sources import records as R
@@ -224,22 +226,20 @@ def q_pooled(spark, sf):
     return out.select("pool", r6(c("median")).alias("median"), c("n").cast("long").alias("n"))
 
 
-@query("AGG12_spacing", f"WITH {PAIRS}, m AS (SELECT id, min(km) AS km FROM pr WHERE id <> nb GROUP BY id) SELECT round(min(km), 4) AS nearest, round(median(km), 4) AS median, round(quantile_cont(km, 0.75), 4) AS p75, round(max(km), 4) AS widest FROM m WHERE km <= 300")
+@query("AGG12_spacing", f"WITH {PAIRS}, m AS (SELECT id, min(km) AS km FROM pr WHERE id <> nb GROUP BY id) SELECT round(min(km), 4) AS nearest, round(median(km), 4) AS median, round(quantile_cont(km, 0.75), 4) AS p75, round(max(km), 4) AS widest FROM m")
 def q_spacing(spark, sf):
-    points = stations(spark, sf).select("id", "lat", "lon")
-    nearest = S.pairs_within(points, points, 300.0).where("l_id <> r_id").groupBy("l_id").agg(F.min("distance").alias("km"))
-    q = F.percentile("km", F.array(F.lit(0.5), F.lit(0.75)))
-    return nearest.agg(F.min("km").alias("a"), q.alias("q"), F.max("km").alias("z")).select(
-        F.round("a", 4).alias("nearest"), F.round(F.get("q", F.lit(0)), 4).alias("median"), F.round(F.get("q", F.lit(1)), 4).alias("p75"), F.round("z", 4).alias("widest")
-    )
+    spacing = CE.nearest_anywhere(stations(spark, sf).select("id", "lat", "lon"), 1, exact=True)
+    found = H.percentile_quartiles(spacing, "distance")
+    return found.select(*[F.round(x, 4).alias(x) for x in ("nearest", "median", "p75", "widest")])
 
 
 @query("AGG14_residuals", "SELECT event_type, round(avg(value - 40), 6) AS mean, round(stddev_pop(value - 40), 6) AS spread, round(sqrt(avg((value - 40) * (value - 40))), 6) AS rmse, round(quantile_cont(abs(value - 40), 0.99), 6) AS p99 FROM events GROUP BY 1")
 def q_residuals(spark, sf):
     r = c("value") - 40
-    return table(spark, sf, "events").groupBy("event_type").agg(
-        r6(F.avg(r)).alias("mean"), r6(F.stddev_pop(r)).alias("spread"), r6(F.sqrt(F.avg(r * r))).alias("rmse"), r6(F.percentile(F.abs(r), F.lit(0.99))).alias("p99")
-    )
+    events = table(spark, sf, "events")
+    plain = events.groupBy("event_type").agg(r6(F.avg(r)).alias("mean"), r6(F.stddev_pop(r)).alias("spread"), r6(F.sqrt(F.avg(r * r))).alias("rmse"))
+    tail = QS.quantiles(events.select("event_type", F.abs(r).alias("size")), ["event_type"], "size", {"p99": 0.99})
+    return plain.join(tail.select("event_type", r6(c("p99")).alias("p99")), "event_type")
 
 
 @query(
@@ -249,14 +249,18 @@ def q_residuals(spark, sf):
 def q_onset(spark, sf):
     n = observations(spark, sf).withColumn("i", F.row_number().over(W()))
     d = n.groupBy("station_id").agg((F.min(F.when((c("i") >= 10) & (c("value") > 60), c("i"))) - 10).alias("delay"))
-    return d.agg(F.round(F.percentile("delay", F.lit(0.5)), 4).alias("median"), F.round(F.percentile("delay", F.lit(0.9)), 4).alias("p90"), F.count("delay").alias("detected"))
+    found = QS.quantiles(d, [], "delay", {"median": 0.5, "p90": 0.9})
+    return found.select(F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"), c("n").alias("detected"))
 
 
 @query("AGG24_neighbour_counts", f"WITH {PAIRS}, k AS (SELECT id, count(*) FILTER (km <= 50 AND id <> nb) AS n FROM pr GROUP BY id) SELECT min(n) AS least, median(n) AS median, max(n) AS most, round(avg(n), 6) AS mean FROM k")
 def q_counts(spark, sf):
     points = stations(spark, sf).select("id", "lat", "lon")
     n = S.pairs_within(points, points, 50.0).groupBy("l_id").agg((F.count("*") - 1).alias("n"))
-    return n.agg(F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"), r6(F.avg("n")).alias("mean"))
+    n = n.withColumnRenamed("n", "others")
+    plain = n.agg(F.min("others").alias("least"), F.max("others").alias("most"), r6(F.avg("others")).alias("mean"))
+    middle = QS.quantiles(n, [], "others", {"median": 0.5}).select("median")
+    return plain.unionByName(middle, allowMissingColumns=True).agg(*[F.max(x).alias(x) for x in ("least", "median", "most", "mean")])
 
 
 @query("AGG25_cluster_rollup", f"WITH {ST} SELECT floor(lat)::BIGINT AS y, floor(lon)::BIGINT AS x, count(*) AS n, count(*) FILTER (temperature > 25) AS hot FROM st GROUP BY ALL")
@@ -271,9 +275,8 @@ def q_distinct(spark, sf):
 
 @query("AGG28_calibration", "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events), p AS (SELECT *, least(1.0::DOUBLE, 0.999::DOUBLE * (1 + 1.0::DOUBLE / n)) * (n - 1) AS pos FROM r) SELECT round(max(value) FILTER (i = floor(pos)) + (max(value) FILTER (i = ceil(pos)) - max(value) FILTER (i = floor(pos))) * (max(pos) - floor(max(pos))), 6) AS threshold FROM p")
 def q_calibration(spark, sf):
-    events = table(spark, sf, "events")
-    level = min(1.0, 0.999 * (1 + 1.0 / events.count()))
-    return events.agg(r6(F.percentile("value", F.lit(level))).alias("threshold"))
+    level = F.least(F.lit(1.0), F.lit(0.999) * (1 + F.lit(1.0) / c("n")))
+    return QS.quantiles(table(spark, sf, "events"), [], "value", {"threshold": level}).select(r6(c("threshold")).alias("threshold"))
 
 
 @query("SRT01_nearest_three", f"WITH {PAIRS} SELECT id, nb AS neighbour FROM pr WHERE id <> nb AND km <= 200 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(km, 3), nb) <= 3")

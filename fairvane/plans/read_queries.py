@@ -267,7 +267,8 @@ _WEIGHTS = {"physics": 0.35, "temporal": 0.25, "spatial": 0.15}
 )
 def q_ensemble(spark, sf):
     scores = {n: F.when(F.expr(ok), F.expr(x)) for n, (x, ok) in _LAYERS.items()}
-    return observations(spark, sf).select("event_id", F.round(R.ensemble_mean(scores, _WEIGHTS), 6).alias("score"))
+    mean = R.ensemble_mean(scores, _WEIGHTS)
+    return observations(spark, sf).select("event_id", (F.round(mean * 1e6) / 1e6).alias("score"))  # near ties round alike in both engines
 
 
 @query(

@@ -21,12 +21,13 @@ c = F.col
 
 @query("ST02_deduplication", "SELECT DISTINCT user_id AS station_id, event_type AS source, ts AS observed_at FROM events")
 def q_deduplication(spark, sf):
-    """A stream in which every third event comes twice, into a sink that holds each observation once."""
+    """A stream of three files, newest days first and every third event twice, into a sink that holds each observation once."""
     events = observations(spark, sf).select("event_id", "station_id", "source", c("observed_at").cast("timestamp").alias("observed_at"))
     feed, sink = shared_path(spark, "feed"), shared_path(spark, "sink")
-    events.unionByName(events.where("event_id % 3 = 0")).write.parquet(feed)
-    stream = job.deduplicated(spark.readStream.schema(events.schema).parquet(feed))
-    job.run_available(spark, stream, sink, shared_path(spark, "progress"), key="observation_id")
+    for days in ("day(observed_at) > 20", "day(observed_at) BETWEEN 11 AND 20 OR event_id % 3 = 0", "day(observed_at) <= 10"):
+        events.where(days).coalesce(1).write.mode("append").parquet(feed)
+    stream = job.deduplicated(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed))
+    job.run_available(spark, stream, sink, shared_path(spark, "progress"), key="observation_id", day="observed_at")
     return spark.read.parquet(sink).select("station_id", "source", c("observed_at").cast("timestamp_ntz").alias("observed_at"))
 
 

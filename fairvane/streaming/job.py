@@ -23,11 +23,16 @@ SCORED = (
 )
 
 
-def deduplicated(stream: DataFrame, watermark: str = "6 hours") -> DataFrame:
-    """Rows once by observation id; the watermark only bounds what is remembered."""
+def deduplicated(stream: DataFrame, memory: str = "6 hours") -> DataFrame:
+    """Rows once by observation id, however old their observation is.
+
+    Ids are remembered by the time at which a row enters the stream, so no row is behind the
+    watermark and none is dropped as late; what is older than ``memory`` the sink holds back.
+    """
     made = observation_id(F.col("station_id").cast("string"), F.col("source"), F.col("observed_at"))
     timed = stream.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withColumn("observation_id", made)
-    return timed.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["observation_id"])
+    entered = timed.withColumn("entered_at", F.current_timestamp()).withWatermark("entered_at", memory)
+    return entered.dropDuplicatesWithinWatermark(["observation_id"]).drop("entered_at")
 
 
 def _scored(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,17 +68,26 @@ def drift_stream(observations: DataFrame) -> DataFrame:
     )
 
 
-def append_once(batch: DataFrame, path: str, key: str) -> None:
-    """foreachBatch sink: rows whose key the table lacks are appended, so a retry adds none."""
+def append_once(batch: DataFrame, path: str, key: str, day: str | None = None) -> None:
+    """foreachBatch sink: rows whose key the table lacks are appended, so a retry adds none.
+
+    With ``day`` (a time column that the key determines) the table is partitioned by date, and only
+    the dates of the batch are read again.
+    """
     spark = batch.sparkSession
+    if day is not None:
+        batch = batch.withColumn("date", F.to_date(day))
+    writer = lambda rows: rows.write.mode("append").partitionBy(*(["date"] if day else []))
     try:
         existing = spark.read.schema(batch.schema).parquet(path)
     except Exception as e:  # the table doesn't exist before the first batch
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        batch.dropDuplicates([key]).write.parquet(path)
+        writer(batch.dropDuplicates([key])).parquet(path)
         return
-    new_rows(batch, existing, key).write.mode("append").parquet(path)
+    if day is not None:
+        existing = existing.where(F.col("date").isin([r[0] for r in batch.select("date").distinct().collect()]))  # dates of one batch
+    writer(new_rows(batch, existing, key)).parquet(path)
 
 
 def snapshot(pool: DataFrame, batch: DataFrame, key: str = "id", time: str = "observed_at") -> DataFrame:
@@ -83,10 +97,10 @@ def snapshot(pool: DataFrame, batch: DataFrame, key: str = "id", time: str = "ob
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), time).alias("x")).select(key, "x.*")
 
 
-def run_available(spark: SparkSession, source: DataFrame, sink_path: str, checkpoint: str, key: str = "event_id") -> None:
+def run_available(spark: SparkSession, source: DataFrame, sink_path: str, checkpoint: str, key: str = "event_id", day: str | None = None) -> None:
     """Process what is there in micro-batches and stop; exactly once into ``sink_path``."""
     query = (
-        source.writeStream.foreachBatch(lambda batch, _: append_once(batch, sink_path, key))
+        source.writeStream.foreachBatch(lambda batch, _: append_once(batch, sink_path, key, day))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
