@@ -76,8 +76,11 @@ def _box(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
     )
 
 
-def _reachable(cells: DataFrame, radius_km: float, keys: list[str], within: Column, slots: Column) -> DataFrame:
-    """Cells as ``q`` with the addresses (tb, tc, __slot) of their level that may hold points ``within`` km of theirs."""
+def _reachable(cells: DataFrame, radius_km: float, keys: list[str], within: Column, slots: Column, most: int | None = None) -> DataFrame:
+    """Cells as ``q`` with the addresses (tb, tc, __slot) of their level that may hold points ``within`` km of theirs.
+
+    With ``most``, bands in which that would be more columns (around a pole) are left out.
+    """
     stats = F.struct(*[c for c in cells.columns if c not in keys])
     parts = F.expr("shiftleft(1L, q.level)")
     high = F.lit(band_height(radius_km)) / parts
@@ -95,6 +98,8 @@ def _reachable(cells: DataFrame, radius_km: float, keys: list[str], within: Colu
     span = F.when((share >= 1) | (angle >= math.pi / 2), 361.0).otherwise(F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 1.0001 + 1e-9)
     first = F.floor((F.col("q.lo_lon") - span + 180) / 360 * n).cast("long")
     last = F.floor((F.col("q.hi_lon") + span + 180) / 360 * n).cast("long")
+    if most is not None:
+        q = q.where(F.least(last - first + 1, n) <= most)
     columns = F.when(last - first >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.sequence(first, last))
     q = q.withColumn("tc", F.explode(F.array_distinct(F.transform(columns, lambda x: F.pmod(x, n)))))
     return q.drop("within")
@@ -157,7 +162,8 @@ def nearest(
 
     address = ["level", *keys, "slot", "band", "col"]
     deepest = max(1, math.ceil(math.log2(radius_km / NARROWEST_KM)))
-    crowd = leveled(targets, deepest).groupBy(*address).agg(F.count("*").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
+    places = targets.select("lat", "lon", *same, "slot").distinct()  # points in one place can't be told apart by cells
+    crowd = leveled(places, deepest).groupBy(*address).agg(F.count("*").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
     most = {r["level"]: r["n"] for r in crowd.collect()}  # one row a level
     depth = next((i for i in range(deepest) if most.get(i, 0) <= leaf), deepest)
     every = rows.withColumn("target", F.lit(0)).unionByName(targets.withColumn("target", F.lit(1)))
@@ -166,14 +172,14 @@ def nearest(
     slots = F.sequence(F.col("slot") - 1, F.col("slot") + 1) if time_us else F.array("slot")
 
     # The ring of a cell: its block of nearby cells surely holds ``k`` others of each of its points that near.
-    block = _reachable(cells.where("asked > 0"), radius_km, keys, F.lit(radius_km) / F.expr("shiftleft(1L, level)"), slots)
+    block = _reachable(cells.where("asked > 0"), radius_km, keys, F.lit(radius_km) / F.expr("shiftleft(1L, level)"), slots, most=256)
     spread = F.greatest(F.col("q.last") - F.col("t.first"), F.col("t.last") - F.col("q.first"))
     sure = spread <= tolerance_us if time_us else F.lit(True)
     around = Window.partitionBy(*keys, *[F.col(f"q.{c}") for c in ("level", "slot", "band", "col")]).orderBy("far")
     held = F.sum(F.when(sure, F.col("t.n")).otherwise(0)).over(around.rangeBetween(Window.unboundedPreceding, 0))
     rings = _facing(block, cells, keys).withColumn("held", held).groupBy(*keys, *[F.col(f"q.{c}").alias(c) for c in ("level", "slot", "band", "col")])
     rings = rings.agg(F.min(F.when(F.col("held") > k, F.col("far"))).alias("ring"))
-    whole = F.coalesce(F.least("ring", F.lit(radius_km)), F.when(F.col("level") == 0, F.lit(radius_km)))
+    whole = F.coalesce(F.when(F.col("ring") <= radius_km, F.col("ring")), F.when((F.col("level") == 0) | (F.col("ring") > radius_km), F.lit(radius_km)))  # fewer addresses make a ring wider, never too small
     rings = durable(rings.withColumn("ring", whole).where("ring is not null"))
     # Each point asks from its smallest cell that has a ring.
     homes = leveled(rows, depth).join(rings, address).groupBy("id", *keys, "lat", "lon", "at", "slot").agg(F.max_by(F.struct("level", "band", "col", "ring"), "level").alias("home"))
