@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..durable import shared_path
-from ..operators import asof, consistency, ecod
+from ..operators import asof, consistency, ecod, layer4
 from ..streaming import event_log as EL
+from .network_queries import EDGES
 from .registry import query
 from .stand_ins import OBSERVATIONS_SQL as OBS
-from .stand_ins import STATION, observations, table
+from .stand_ins import STATION, observations, stations, table
 
 c = F.col
 
@@ -119,3 +120,47 @@ def q_consistency(spark, sf):
     rows = observations(spark, sf).withColumn("elevation", (c("station_id") * 13 % 1500).cast("double"))
     out = consistency.scored(rows, COMPONENTS)
     return out.select("event_id", *[F.round(f"expected_{x}", 4).alias(f"expected_{x}") for x in _CH], "worst", r6(c("consistency")).alias("score"))
+
+
+# ---- the spatial layer from readings to verdicts
+
+_SHIFTED = {
+    "temperature": "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 10 < 2 THEN temperature + 12 ELSE temperature END",
+    "pressure": "CASE WHEN id % 7 = 0 THEN pressure - 15 ELSE pressure END",
+    "humidity": "CASE WHEN id % 13 = 0 THEN NULL ELSE humidity END",
+}
+_FLOOR = {"temperature": 1.0, "pressure": 0.8, "humidity": 4.0}
+_LONG = " UNION ALL ".join(
+    f"SELECT id, elevation, '{x}' AS ch, ({v})::DOUBLE AS v, {_FLOOR[x]}::DOUBLE AS floor, {layer4.LAPSE[x] or 0}::DOUBLE AS lapse FROM st" for x, v in _SHIFTED.items()
+)
+_WITH_US = "abs(tz) >= 1 AND sign(tz) = sign(rz)"
+
+
+@query(
+    "MDL12_spatial_layer",
+    f"""WITH {EDGES}, ch AS ({_LONG}),
+x AS (SELECT ed.id, a.ch, a.v AS own, a.floor, CASE WHEN a.ch = 'humidity' THEN greatest(0.0, least(100.0, b.v)) ELSE b.v - coalesce(a.lapse * (a.elevation - b.elevation), 0) END AS e, 1 / pow(greatest(distance, 1.0), 2) AS w
+  FROM ed JOIN ch a ON a.id = ed.id JOIN ch b ON b.id = nb AND b.ch = a.ch WHERE b.v IS NOT NULL),
+g AS (SELECT id, ch, any_value(own) AS own, any_value(floor) AS floor, count(*) AS n, sum(w * e) / sum(w) AS mean, stddev_pop(e) AS sd, median(e) AS med FROM x GROUP BY id, ch),
+m AS (SELECT x.id, x.ch, median(abs(e - med)) AS mad FROM x JOIN g USING (id, ch) GROUP BY ALL),
+z AS (SELECT g.*, mad, abs(own - mean) / greatest(sd, floor) AS z, 0.6745 * (own - med) / greatest(mad, floor * 0.6745) AS rz FROM g JOIN m USING (id, ch) WHERE own IS NOT NULL AND n >= 2),
+t AS (SELECT x.id, x.ch, x.w, rz, 0.6745 * (x.e - z.med) / greatest(z.mad, z.floor * 0.6745) AS tz FROM x JOIN z USING (id, ch)),
+a AS (SELECT id, ch, count(*) FILTER ({_WITH_US}) AS sup, sum(CASE WHEN {_WITH_US} THEN w ELSE 0 END) / sum(w) AS ws, avg(abs(tz)) FILTER ({_WITH_US}) AS size FROM t GROUP BY ALL),
+q AS (SELECT *, least(1.0, n / 8.0::DOUBLE) AS cov FROM z JOIN a USING (id, ch)),
+r AS (SELECT *, cov * ws * CASE WHEN coalesce(size / abs(rz) BETWEEN 1 / 3.0::DOUBLE AND 3, false) THEN 1 ELSE 0 END AS regional, cov * (1 - sup / n) AS isolated,
+  CASE WHEN z > 3 THEN least(least(1.0, (z - 3) / 3 + 0.5), CASE WHEN n >= 5 THEN 1.0 WHEN n >= 3 THEN 0.75 ELSE 0.5 END) ELSE 0.0 END::DOUBLE AS score FROM q),
+c AS (SELECT ch.id, ch.ch, coalesce(g.n, 0) AS n, r.score, regional, isolated, CASE WHEN r.id IS NULL THEN 'UNAVAILABLE' WHEN abs(rz) <= 3 THEN 'NOT_ANOMALOUS' WHEN regional > isolated THEN 'REGIONAL' WHEN isolated > regional THEN 'ISOLATED' ELSE 'UNCERTAIN' END AS lean
+  FROM ch LEFT JOIN g USING (id, ch) LEFT JOIN r USING (id, ch)),
+s AS (SELECT id, max(score) AS score, max(n) AS n, string_agg(ch || ':' || lean, ',' ORDER BY ch) AS channels, count(*) FILTER (lean = 'REGIONAL') AS nr, count(*) FILTER (lean = 'ISOLATED') AS ni,
+  max(greatest(regional, isolated)) FILTER (lean IN ('REGIONAL', 'ISOLATED')) AS strongest, coalesce(avg(regional) FILTER (lean IN ('REGIONAL', 'ISOLATED', 'UNCERTAIN')), 0) AS regional,
+  coalesce(avg(isolated) FILTER (lean IN ('REGIONAL', 'ISOLATED', 'UNCERTAIN')), 0) AS isolated FROM c GROUP BY id)
+SELECT id, CASE WHEN score IS NULL THEN 'INSUFFICIENT_NEIGHBOURS' ELSE 'EVALUATED' END AS state, n AS neighbours, round(score, 4) AS score, channels, round(regional, 5) AS regional, round(isolated, 5) AS isolated,
+CASE WHEN score IS NULL OR nr + ni = 0 OR (nr > 0 AND ni > 0) OR coalesce(strongest, 0) <= 0.25 THEN 'UNCERTAIN' WHEN nr > 0 THEN 'REGIONAL' ELSE 'ISOLATED' END AS attribution,
+CASE WHEN score IS NULL THEN 'CONTRADICTED' WHEN regional > 0.25 AND regional >= 3 * isolated THEN 'SUPPORTED_REGIONAL' WHEN isolated > 0.25 AND isolated >= 3 * regional THEN 'SUPPORTED_ISOLATED' WHEN regional > 0.25 OR isolated > 0.25 THEN 'AMBIGUOUS' ELSE 'CONTRADICTED' END AS counterfactual FROM s""",
+)
+def q_layer(spark, sf):
+    """Every station against its neighbours, from readings to attribution, in one pass over three channels."""
+    readings = stations(spark, sf).withColumns({k: F.expr(v) for k, v in _SHIFTED.items()})
+    out = layer4.evaluated(readings)
+    rounded = {"score": 4, "regional": 5, "isolated": 5}
+    return out.select("id", "state", "neighbours", *[(F.round(c(k) * 10**d) / 10**d).alias(k) for k, d in rounded.items()], "channels", "attribution", "counterfactual")
