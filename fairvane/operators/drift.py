@@ -1,4 +1,4 @@
-"""Sensor drift: leaky CUSUM and exponential baseline as native folds over ordered arrays."""
+"""Sensor drift: leaky CUSUM and exponential baseline over each station's ordered rows, tiers and trends."""
 
 from __future__ import annotations
 
@@ -18,40 +18,29 @@ def cusum_series(df: DataFrame, station: str, residual: str, time: str, tie: str
     """EMA baseline and two-sided CUSUM of each station's residuals, row by row.
 
     Both recursions clamp or decay by the time since the last row, so they are no frame
-    function; they run as one fold over the station's ordered rows, in the JVM.  A
-    station's rows meet in one row; their number is bounded by its cadence and the span
-    of the batch.
+    function.  Stations follow one another in sorted partitions, and a task holds the few
+    numbers of one station's state, however long its series.
     """
-    row = F.struct(F.col(time).alias("t"), F.col(tie).alias("tie"), F.col(residual).alias("r"))
-    series = df.where(F.col(residual).isNotNull()).groupBy(station).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def weight(previous: Column, now: Column) -> Column:
-        gap = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))) / 1e6
-        return F.when(previous.isNull() | (gap < 5), 1.0).otherwise(F.least(F.lit(STEP_CLIP), F.greatest(F.lit(0.0), gap / STEP_SECONDS)))
-
-    start = F.struct(
-        F.lit(None).cast(dict(df.dtypes)[time]).alias("t"),
-        F.lit(None).cast("double").alias("ema"),
-        F.lit(0.0).alias("up"),
-        F.lit(0.0).alias("down"),
-        F.expr(f"cast(array() as array<struct<tie:{dict(df.dtypes)[tie]},ema:double,up:double,down:double>>)").alias("out"),
+    kinds = dict(df.dtypes)
+    rows = df.where(F.col(residual).isNotNull()).select(
+        F.col(station).alias("station"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"), F.col(tie).alias("tie"), F.col(residual).cast("double").alias("r")
     )
 
-    def step(state: Column, x: Column) -> Column:
-        w = weight(state["t"], x["t"])
-        keep = F.pow(F.lit(EMA_BETA), w)
-        ema = F.when(state["ema"].isNull(), x["r"]).otherwise(keep * state["ema"] + (1 - keep) * x["r"])
-        leak = F.pow(F.lit(CUSUM_LEAK), w)
-        up = F.greatest(F.lit(0.0), state["up"] + (x["r"] - k) * w) * leak
-        down = F.greatest(F.lit(0.0), state["down"] + (-x["r"] - k) * w) * leak
-        entry = F.struct(x["tie"].alias("tie"), ema.alias("ema"), up.alias("up"), down.alias("down"))
-        return F.struct(
-            x["t"].alias("t"), ema.alias("ema"), up.alias("up"), down.alias("down"), F.concat(state["out"], F.array(entry)).alias("out")
-        )
-
-    folded = series.select(station, F.inline(F.aggregate("rows", start, step, lambda s: s["out"])))
-    score = F.least(F.lit(1.0), F.greatest("up", "down") / (2 * h))
-    return folded.withColumnRenamed("tie", tie).withColumn("score", score)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, now, first = {}, None, 0
+        for frame in frames:
+            out = []
+            for name, part in frame.groupby("station", sort=False, dropna=False):
+                us = part["us"].to_numpy()
+                if now is None or name != now:
+                    state, now, first = {}, name, us[0]
+                out += kernel(state, zip(((us - first) / 1e6).tolist(), part["r"].tolist()), h, k)
+            scored = pd.DataFrame([x[1:] for x in out], columns=["ema", "up", "down", "score"])
+            yield pd.concat([frame[["station", "tie"]].reset_index(drop=True), scored], axis=1)
+
+    ordered = rows.repartition("station").sortWithinPartitions("station", "us", "tie")
+    schema = f"station {kinds[station]}, tie {kinds[tie]}, ema double, up double, down double, score double"
+    return ordered.mapInPandas(run, schema).withColumnsRenamed({"station": station, "tie": tie})
 
 
 def drift_tier(cusum: Column, samples: Column, h: float = CUSUM_H) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..durable import shared_path
 from ..operators import asof, consistency, ecod, layer4
+from ..sources import push
 from ..streaming import event_log as EL
 from .network_queries import EDGES
 from .registry import query
@@ -164,3 +165,37 @@ def q_layer(spark, sf):
     out = layer4.evaluated(readings)
     rounded = {"score": 4, "regional": 5, "isolated": 5}
     return out.select("id", "state", "neighbours", *[(F.round(c(k) * 10**d) / 10**d).alias(k) for k, d in rounded.items()], "channels", "attribution", "counterfactual")
+
+
+# ---- pushed observations: requests of up to forty items, some of them bad
+
+_BAD = "CASE WHEN event_id % 17 = 0 THEN 'BAD_STATION_ID' WHEN event_id % 13 = 0 THEN 'BAD_TIME' WHEN event_id % 11 = 0 THEN 'BAD_NUMBER:temperature' END"
+
+
+@query(
+    "SRC08_push_items",
+    f"""WITH e AS (SELECT event_id, event_id // 40 AS request, value, CASE WHEN event_id // 40 % 9 = 0 THEN 'NOT_JSON' ELSE {_BAD} END AS reason FROM events),
+n AS (SELECT CASE WHEN reason = 'NOT_JSON' THEN request ELSE event_id END AS item, reason, value FROM e)
+SELECT coalesce(reason, 'ACCEPTED') AS outcome, count(DISTINCT item) AS items, round(CASE WHEN reason IS NULL THEN max(value) END, 6) AS highest FROM n GROUP BY reason""",
+)
+def q_push(spark, sf):
+    """What becomes of pushed items: counts by reason, and the highest value of those that are scored."""
+    e = table(spark, sf, "events").select("event_id", (c("event_id") / 40).cast("long").alias("request"), "ts", "value")
+    k = c("event_id")
+    item = F.to_json(
+        F.struct(
+            F.when(k % 17 == 0, "no id!").otherwise(F.concat(F.lit("st-"), k.cast("string"))).alias("station_id"),
+            F.when(k % 13 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("observed_at"),
+            F.when(k % 11 == 0, "warm").otherwise(c("value").cast("string")).alias("temperature"),
+            F.struct(F.lit("forged").alias("origin")).alias("meta"),
+        )
+    )
+    bodies = e.groupBy("request").agg(F.concat(F.lit('{"observations": ['), F.array_join(F.array_sort(F.collect_list(item)), ", "), F.lit("]}")).alias("body"))
+    bodies = bodies.withColumn("body", F.when(c("request") % 9 == 0, F.lit("no json")).otherwise(c("body")))
+    feed, good, bad = shared_path(spark, "feed"), shared_path(spark, "accepted"), shared_path(spark, "rejected")
+    bodies.repartition(2).write.parquet(feed)
+    stream = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    push.run_push(spark, stream, good, bad, shared_path(spark, "progress"))
+    accepted = spark.read.parquet(good).agg(F.lit("ACCEPTED").alias("outcome"), F.count("*").alias("items"), r6(F.max("temperature")).alias("highest"))
+    rejected = spark.read.parquet(bad).groupBy(c("reason").alias("outcome")).agg(F.count("*").alias("items"))
+    return accepted.unionByName(rejected, allowMissingColumns=True)

@@ -15,10 +15,14 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..constants import CUSUM_H, CUSUM_K, DRIFT_MULTIPLIERS
+from ..durable import durable
 from ..operators.drift import kernel
+from .stations import with_state_store
 
 SATURATED = 95.0
 KEY = ["station_id", "channel", "mode"]
@@ -107,3 +111,48 @@ def channel_drift_batch(residuals: DataFrame) -> DataFrame:
 
     some = residuals.where("mode <> 'SUSPENDED_SATURATION'")
     return some.repartition(*KEY).sortWithinPartitions(*KEY, "observed_us", "event_id").mapInPandas(scored, SCORED)
+
+
+class _Drift(StatefulProcessor):
+    """``Series`` over streaming state, which a stored tail can seed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("series", STATE)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        row = initialState.iloc[0]
+        numbers = [None if pd.isna(row[n]) else float(row[n]) for n in _HELD]
+        self.held.update((*numbers, int(row["last_us"]), None if pd.isna(row["source"]) else str(row["source"])))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        series = Series(key[1], *(self.held.get() if self.held.exists() else ()))
+        ordered = pd.concat(list(rows)).sort_values(["observed_us", "event_id"])
+        out = [(*row[:3], *series.scored(*row[3:])) for row in _rows(ordered)]
+        self.held.update(series.saved())
+        yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def seeds(residuals: DataFrame, scored: DataFrame, since_us: int) -> DataFrame:
+    """The state of each series after its last stored score, where that is not older than ``since_us``.
+
+    ``residuals`` and ``scored`` are stored tables; older series start anew, as they would after the gap.
+    """
+    tail = residuals.where(F.col("observed_us") >= since_us).select(*KEY, "event_id", "observed_us", "source")
+    known = scored.where("not late").select(*KEY, "event_id", "ema", "up", "down").join(tail, [*KEY, "event_id"])
+    state = F.struct((F.col("observed_us") / 1e6).alias("t"), "ema", "up", "down", F.col("observed_us").alias("last_us"), "source")
+    return known.groupBy(*KEY).agg(F.max_by(state, F.struct("observed_us", "event_id")).alias("s")).select(*KEY, "s.*")
+
+
+def recovered_stream(residuals: DataFrame, seeded: DataFrame) -> DataFrame:
+    """``channel_drift_stream`` that goes on from ``seeds`` instead of from nothing.
+
+    The seeds are stored first: only the first micro-batch of a query reads them.
+    """
+    with_state_store(residuals.sparkSession)
+    some = residuals.where("mode <> 'SUSPENDED_SATURATION'").select(*KEY, "event_id", "observed_us", "source", "residual")
+    return some.groupBy(*KEY).transformWithStateInPandas(
+        _Drift(), StructType.fromDDL(SCORED), "Append", "none", initialState=durable(seeded).groupBy(*KEY)
+    )

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairvane.operators import normalise as N
+from fairvane.sources import push
+from fairvane.streaming import channel_drift as CD
 from fairvane.streaming import event_registry as ER
 from fairvane.streaming import job
 from fairvane.streaming import stations as M
@@ -176,3 +178,36 @@ def test_registry_stream_equals_fold(spark, tmp_path):
     got = streamed(spark, tmp_path, chunks, schema, ER.registry_stream)
     want = ER.registry_batch(spark.createDataFrame([x for c in chunks for x in c], schema))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 10
+
+
+def test_recovered_stream_equals_an_unbroken_run(spark, tmp_path):
+    """Stopped and started again with the stored tail, the drift scores are those of one run."""
+    r = random.Random(9)
+    rows = [(s, ch, "RAW", i, 10_000_000 * i, "A" if i < 150 or s else "B", r.gauss(0, 2)) for i in range(200) for s in range(2) for ch in ("temperature", "humidity")]
+    schema = "station_id long, channel string, mode string, event_id long, observed_us long, source string, residual double"
+    df = spark.createDataFrame(rows, schema)
+    whole = {(x.station_id, x.channel, x.event_id): (x.ema, x.up, x.down, x.score) for x in CD.channel_drift_batch(df).collect()}
+    early = df.where("event_id < 120")
+    stored = CD.channel_drift_batch(early)
+    seeded = CD.seeds(early, stored, since_us=0)
+    got = streamed(spark, tmp_path, [[x for x in rows if 110 <= x[3] < 160], [x for x in rows if x[3] >= 160]], schema, lambda s: CD.recovered_stream(s, seeded))
+    scores = [x for x in got.collect() if not x.late]
+    assert len(scores) == 4 * 80 and got.where("late").count() == 4 * 10  # what was seen before the stop is late
+    assert all((x.ema, x.up, x.down, x.score) == whole[x.station_id, x.channel, x.event_id] for x in scores)
+    assert CD.seeds(early, stored, since_us=10_000_000 * 120).count() == 0
+
+
+def test_pushed_items_are_judged_one_by_one(spark):
+    bodies = [
+        (1, '{"observations": [{"station_id": "a", "observed_at": "2024-01-01T00:00:00Z", "temperature": 21.5, "meta": {"x": 1}}, {"station_id": "bad id", "observed_at": "2024-01-01"}, 7, null]}'),
+        (2, '{"station_id": "b", "observed_at": "never"}'),
+        (3, '{"station_id": "b", "observed_at": "2024-01-01 10:00:00", "pressure": "low", "adapter": "x"}'),
+        (4, "no json"), (5, None), (6, '{"observations": []}'), (7, "[1, 2]"),
+        (8, '{"observations": [' + ", ".join(['{"station_id": "c"}'] * (push.MOST_ITEMS + 1)) + "]}"),
+    ]
+    got = {(x.request, x.place): x for x in push.judged(spark.createDataFrame(bodies, "request long, body string")).collect()}
+    assert {k: x.reason for k, x in got.items()} == {
+        (1, 0): None, (1, 1): "BAD_STATION_ID", (1, 2): "NOT_AN_OBJECT", (1, 3): "NOT_AN_OBJECT", (2, 0): "BAD_TIME", (3, 0): "BAD_NUMBER:pressure",
+        (4, 0): "NOT_JSON", (5, 0): "NOT_JSON", (7, 0): "NOT_JSON", (8, 0): "TOO_MANY_ITEMS",
+    }
+    assert (got[1, 0].temperature, got[1, 0].adapter, got[3, 0].adapter) == (21.5, "push", "x") and "meta" not in got[1, 0]
