@@ -21,7 +21,7 @@ BINS = 1024
 
 def _even(x: Column) -> Column:
     """A monotone scale on which values of very different size spread over the bins."""
-    return F.signum(x) * F.log1p(F.abs(x))
+    return F.signum(x) * F.least(F.log1p(F.abs(x)), F.lit(1000.0))  # of infinite ones too
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float | Column], small: int = SMALL, bins: int = BINS) -> DataFrame:
@@ -41,7 +41,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float |
     while ranks.where(open_).limit(1).count():
         ranges = ranks.where(open_).select("g", "lo", "hi").distinct()
         span = _even(F.col("hi")) - _even(F.col("lo"))
-        at = F.least(F.floor((_even(F.col("x")) - _even(F.col("lo"))) / span * bins), F.lit(bins - 1))
+        # Where the scale can't tell a narrow range's ends apart, its plain distances can.
+        share = F.coalesce(F.try_divide(_even(F.col("x")) - _even(F.col("lo")), span), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        at = F.least(F.floor(share * bins), F.lit(bins - 1))
         inside = data.join(ranges, "g").where("x between lo and hi").withColumn("bin", F.when(F.col("x") == F.col("lo"), -1).when(F.col("x") == F.col("hi"), bins).otherwise(at))
         counted = inside.groupBy("g", "lo", "hi", "bin").agg(F.count("*").alias("c"), F.min("x").alias("lo2"), F.max("x").alias("hi2"))
         before = Window.partitionBy("g", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -130,16 +130,16 @@ def test_quantiles_equal_numpy(spark, small, bins):
     r = np.random.default_rng(3)
     groups = {
         "even": r.uniform(-5, 5, 500), "wide": np.exp(r.normal(0, 60, 400)) * r.choice([-1, 1], 400), "ties": r.integers(0, 4, 300).astype(float),
-        "one": np.array([2.5]), "same": np.full(200, 7.0), None: r.normal(0, 1e-12, 250) + 1000,
+        "one": np.array([2.5]), "same": np.full(200, 7.0), "ends": np.array([-math.inf] * 40 + [1.0] * 50 + [math.inf] * 31), None: r.normal(0, 1e-12, 250) + 1000,
     }
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("even", None), ("even", float("nan")), ("none", None)]
-    qs = {"low": 0.0, "q05": 0.05, "median": 0.5, "p99": 0.99, "high": 1.0}
+    qs = {"low": 0.0, "q05": 0.05, "q25": 0.25, "median": 0.5, "p99": 0.99, "high": 1.0}
     got = {x.g: x for x in Q.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", qs, small, bins).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         assert got[g].n == len(vs)
         for name, q in qs.items():
-            assert got[g][name] == pytest.approx(np.quantile(vs, q), rel=1e-9, abs=1e-15)
+            assert got[g][name] == pytest.approx(float(np.sort(vs)[round(q * (len(vs) - 1))]) if g == "ends" else np.quantile(vs, q), rel=1e-9, abs=1e-15)
 
 
 def test_medians_of_several_columns(spark):
