@@ -76,6 +76,12 @@ def _box(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: each makes many, so few bytes are no reason for few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _reachable(cells: DataFrame, radius_km: float, keys: list[str], within: Column, slots: Column, most: int | None = None) -> DataFrame:
     """Cells as ``q`` with the addresses (tb, tc, __slot) of their level that may hold points ``within`` km of theirs.
 
@@ -88,7 +94,7 @@ def _reachable(cells: DataFrame, radius_km: float, keys: list[str], within: Colu
     def band(lat: Column) -> Column:
         return F.floor((F.least(F.greatest(lat, F.lit(-90.0)), F.lit(90.0)) + 90) / high).cast("long")
 
-    q = cells.withColumn("__slot", F.explode(slots)).withColumn("within", within).select(*keys, "__slot", "within", stats.alias("q"))
+    q = _spread(cells).withColumn("__slot", F.explode(slots)).withColumn("within", within).select(*keys, "__slot", "within", stats.alias("q"))
     angle, lift = F.col("within") / EARTH_RADIUS_KM, F.degrees(F.col("within") / EARTH_RADIUS_KM) * 1.0001 + 1e-9
     q = q.withColumn("tb", F.explode(F.sequence(band(F.col("q.lo_lat") - lift), band(F.col("q.hi_lat") + lift))))
     n = cells_around(F.floor(F.col("tb") / parts).cast("long"), radius_km) * parts
@@ -339,7 +345,7 @@ def nearby_cells(cells: DataFrame, within_km: float, eps_km: float) -> DataFrame
     band = F.floor((F.col("lat") + 90) / height).cast("long")
     node = F.struct("id", "lat", "lon", "reach")
     n = cells_around(F.col("tb"), within_km)
-    q = cells.select(node.alias("q"), F.explode(F.sequence(band - 1, band + 1)).alias("tb"))
+    q = _spread(cells).select(node.alias("q"), F.explode(F.sequence(band - 1, band + 1)).alias("tb"))
     around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column_of(F.col("q.lon"), n) + d, n)))
     q = q.withColumn("tc", F.explode(around))
     t = cells.select(node.alias("t"), band.alias("tb"), column_of(F.col("lon"), cells_around(band, within_km)).alias("tc"))
