@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fairvane.operators import asof, consistency, ecod, ranges
+from fairvane.operators import asof, consistency, ecod, layer4, ranges
 from fairvane.operators import history as H
 from fairvane.streaming import event_log as EL
 
@@ -100,3 +100,22 @@ def test_components_equal_numpy(spark):
     assert max(abs(row.temperature - row.expected_temperature) for row in without) < 1.5
     lone = consistency.scored(df.withColumn("pressure", F.lit(None).cast("double")).withColumn("humidity", F.lit(None).cast("double")), model).first()
     assert (lone.consistency, lone.worst, lone.expected_temperature) == (0.0, None, None)
+
+
+def test_spatial_layer_in_one_pass(spark):
+    """One station is off alone, one lacks a channel, one is far from all; each channel stands by itself."""
+    at = datetime(2024, 1, 1, 12)
+    rows = [(i, 20.0 + i * 0.05, 77.0, 100.0, "A", at, 25.0 + (i % 2) * 0.1, 1010.0, 60.0) for i in range(6)]
+    rows[2] = (2, *rows[2][1:6], 45.0, 1010.0, 60.0)
+    rows[3] = (3, *rows[3][1:8], None)
+    rows += [(9, -50.0, 10.0, None, "A", at, 25.0, 1010.0, 60.0), (10, 20.1, 77.0, None, "B", at, 99.0, None, None)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, elevation double, source string, observed_at timestamp, temperature double, pressure double, humidity double")
+    got = {r.id: r for r in layer4.evaluated(df).collect()}
+    assert set(got) == {r[0] for r in rows}
+    off = got[2]
+    assert (off.state, off.neighbours, off.attribution, off.counterfactual) == ("EVALUATED", 5, "ISOLATED", "SUPPORTED_ISOLATED")
+    assert off.score == 1.0 and "temperature:ISOLATED" in off.channels and "pressure:NOT_ANOMALOUS" in off.channels
+    assert "humidity:UNAVAILABLE" in got[3].channels and "temperature:NOT_ANOMALOUS" in got[3].channels
+    assert got[0].attribution == "UNCERTAIN" and got[0].score < 0.5  # nothing to attribute
+    for i in (9, 10):  # no neighbours of its source in reach
+        assert (got[i].state, got[i].score, got[i].counterfactual) == ("INSUFFICIENT_NEIGHBOURS", None, "CONTRADICTED")
