@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CUSUM_H, CUSUM_K, CUSUM_LEAK, EMA_BETA, STEP_CLIP, STEP_SECONDS
@@ -88,6 +88,19 @@ def mann_kendall(df: DataFrame, station: str, value: str, order: list[str]) -> D
     return df.groupBy(station).applyInPandas(test, f"{station} {kind}, n long, tau double, p double")
 
 
+def suspect_trends(df: DataFrame, station: str, value: str, order: list[str], suspect: Column, last: int = 144, recent: int = 12, level: float = 0.01) -> DataFrame:
+    """Trend of the last rows of stations whose ``suspect`` condition holds of the mean of their most recent ones.
+
+    The condition is over ``bias``.  Only the rows that the test needs are brought together, at most ``last`` a
+    station.  Gives station, n, tau and whether the trend is significant at ``level``.
+    """
+    newest = Window.partitionBy(station).orderBy(*[F.desc(x) for x in order])
+    rows = df.where(F.col(value).isNotNull()).withColumn("__back", F.row_number().over(newest)).where(F.col("__back") <= last)
+    bias = rows.where(F.col("__back") <= recent).groupBy(station).agg(F.avg(value).alias("bias")).where(suspect)
+    found = mann_kendall(rows.join(bias.select(station), station, "left_semi").select(station, value, *order), station, value, order)
+    return found.select(station, "n", "tau", (F.col("p") < level).alias("significant"))
+
+
 def kernel(state: dict, rows: Iterator[tuple[float, float]], h: float = CUSUM_H, k: float = CUSUM_K) -> list[tuple]:
     """The same recursion for keyed streaming state: (seconds, residual) rows in order."""
     out = []

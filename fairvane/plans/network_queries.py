@@ -220,6 +220,22 @@ def q_kendall(spark, sf):
     return D.mann_kendall(observations(spark, sf).select("station_id", "observed_at", "event_id", "value"), "station_id", "value", ["observed_at", "event_id"])
 
 
+@query(
+    "WIN10_suspect_trends",
+    f"""WITH {OBS}, l AS (SELECT station_id, value, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, event_id DESC) AS back FROM obs QUALIFY back <= 144),
+s AS (SELECT station_id, count(*) AS n FROM l GROUP BY 1 HAVING avg(value) FILTER (back <= 12) > 50),
+k AS (SELECT a.station_id, sum(sign(b.value - a.value)) AS s FROM l a JOIN l b ON a.station_id = b.station_id AND a.back > b.back GROUP BY 1),
+t AS (SELECT station_id, sum(m * (m - 1) / 2.0::DOUBLE) AS tied, sum(m * (m - 1) * (2 * m + 5)) AS more FROM (SELECT station_id, value, count(*) AS m FROM l GROUP BY ALL) GROUP BY 1),
+z AS (SELECT station_id, n, coalesce(s, 0) AS s, n * (n - 1) / 2.0::DOUBLE AS pairs, tied, (n * (n - 1) * (2 * n + 5) - more) / 18.0::DOUBLE AS v FROM s LEFT JOIN k USING (station_id) JOIN t USING (station_id))
+SELECT station_id, n, round(CASE WHEN pairs > tied THEN s / sqrt(pairs * (pairs - tied)) ELSE 0 END, 6) AS tau, coalesce(CASE WHEN pairs > tied THEN abs(s) / sqrt(v) > 2.5758293035489004 END, false) AS significant FROM z""",
+)
+def q_suspect_trends(spark, sf):
+    """Stations whose latest mean is high: is there a trend in their last 144 values?"""
+    obs = observations(spark, sf).select("station_id", "observed_at", "event_id", "value")
+    out = D.suspect_trends(obs, "station_id", "value", ["observed_at", "event_id"], c("bias") > 50)
+    return out.withColumn("tau", F.round("tau", 6))
+
+
 @query(
     "WIN12_MDL13_health",
     f"""WITH {OBS}, a AS (SELECT event_id, value / 12 AS cu, event_id % 10 AS n, CAST(event_id % 50 AS DOUBLE) / 100 AS er, least(1.0, value / 120) AS sc FROM obs)
