@@ -588,6 +588,28 @@ def test_members_are_read_in_ranges_and_retried_alone(spark, docs, tmp_path):
 # ---- mixing, secrets, licences
 
 
+def test_overlapping_spans_are_left_alone_and_cut_whole():
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefgh") for _ in range(60))
+        spans = {k: [] for k in pii.KINDS}
+        for k in pii.KINDS:  # of one kind none overlaps, of different kinds they may
+            at = 0
+            while (start := at + rng.randint(0, 20)) < 55:
+                at = start + rng.randint(1, 30 if k == "email" else 6)
+                spans[k].append((start, min(at, 60)))
+        covered = {i for each in spans.values() for s, e in each for i in range(s, e)}
+        merged = pii._merged(s for each in spans.values() for s in each)
+        for start in range(0, 60, 3):
+            assert pii._touches(merged, start, start + 4) == bool(covered & set(range(start, start + 4)))
+        left = re.sub(r"\[[a-z]+\]", "", pii.redact(text, spans))
+        assert left == "".join(x for i, x in enumerate(text) if i not in covered)
+    nested = {"email": [(0, 50)], "ip": [(1, 3), (4, 6), (7, 9), (10, 12), (13, 15)], "card": [], "phone": []}
+    assert pii._touches(pii._merged([*nested["email"], *nested["ip"]]), 40, 45)
+    assert pii.redact("x" * 50 + "end", nested) == "[email]end"
+    assert pii.redact("", {k: [] for k in pii.KINDS}) == ""
+
+
 def test_mixing_meets_targets(spark, nothing):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = mixing.labelled_domains(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
