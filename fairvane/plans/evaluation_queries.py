@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checkpoints as CP
+from ..operators import next_step as NS
 from ..operators import temporal as T
 from .registry import query
 from .stand_ins import OBSERVATIONS_SQL as OBS
@@ -70,3 +71,31 @@ UNION ALL SELECT 'split_overlap', count(*) FROM (SELECT station_id FROM a GROUP
 def q_quality(spark, sf):
     rows = observations(spark, sf).selectExpr("*", _HOURS, _SPLIT)
     return CP.dataset_quality(rows, "station_id", "hour_at", "split", _BOUNDS, 3600)
+
+
+_CHANNELS, _HISTORY = ("temperature", "pressure", "humidity"), 10
+#: Of each channel: sums over neighbouring whole readings, the line with a ridge of one through them, its residuals.
+_SUMS = ", ".join(f"count(*) + 1e0 AS n_{k}, sum(x_{k}) AS x_{k}, sum({k}) AS y_{k}, sum(x_{k} * x_{k}) + 1e0 AS xx_{k}, sum(x_{k} * {k}) AS xy_{k}" for k in _CHANNELS)
+_LINES = ", ".join(
+    f"(xx_{k} * y_{k} - x_{k} * xy_{k}) / (n_{k} * xx_{k} - x_{k} * x_{k}) AS a_{k}, (n_{k} * xy_{k} - x_{k} * y_{k}) / (n_{k} * xx_{k} - x_{k} * x_{k}) AS b_{k}" for k in _CHANNELS
+)
+
+
+@query(
+    "MDL04_next_step_score",
+    f"""WITH {OBS}, w AS (SELECT *, {', '.join(f'lag({k}) OVER v AS x_{k}' for k in _CHANNELS)}, row_number() OVER v - 1 AS past FROM obs
+WHERE {' AND '.join(f'{k} IS NOT NULL' for k in _CHANNELS)} WINDOW v AS (PARTITION BY station_id ORDER BY observed_at, event_id)),
+s AS (SELECT {_SUMS} FROM w WHERE past > 0), l AS (SELECT {_LINES} FROM s),
+r AS (SELECT event_id, past, {', '.join(f'CASE WHEN past >= {_HISTORY} THEN {k} - (a_{k} + b_{k} * x_{k}) END AS r_{k}' for k in _CHANNELS)} FROM w, l),
+p AS (SELECT {', '.join(f'quantile_cont(abs(r_{k}), 0.99) FILTER (event_id % 5 > 0) AS p_{k}' for k in _CHANNELS)} FROM r),
+o AS (SELECT event_id, {', '.join(f'r_{k}' for k in _CHANNELS)}, {', '.join(f'CASE WHEN past >= {_HISTORY} THEN least(abs(r_{k}) / p_{k} / 1.44e0, 1e0) END AS s_{k}' for k in _CHANNELS)}, CASE WHEN past < {_HISTORY} THEN 'insufficient_valid_history' END AS skip_reason FROM r, p)
+SELECT obs.event_id, {', '.join(f'round(r_{k}, 5) AS {k}_residual' for k in _CHANNELS)}, round(CASE WHEN s_{_CHANNELS[0]} IS NOT NULL THEN greatest({', '.join(f's_{k}' for k in _CHANNELS)}) END, 6) AS next_step_score,
+CASE WHEN o.event_id IS NULL THEN 'current_observation_incomplete' ELSE skip_reason END AS skip_reason FROM obs LEFT JOIN o ON obs.event_id = o.event_id""",
+)
+def q_next_step_score(spark, sf):
+    out = NS.next_step_scores(
+        observations(spark, sf), "station_id", ["observed_at", "event_id"], _CHANNELS, _HISTORY, order=1, calibrating=c("event_id") % 5 > 0
+    )
+    return out.select(
+        "event_id", *[F.round(f"{k}_residual", 5).alias(f"{k}_residual") for k in _CHANNELS], F.round("next_step_score", 6).alias("next_step_score"), "skip_reason"
+    )
