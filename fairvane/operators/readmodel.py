@@ -157,7 +157,12 @@ def spatial_verdict(parameter: str, own_change: Column, changes: Column) -> Colu
     ordered = F.sort_array(F.array_compact(changes))
     size = F.size(ordered)
     median = F.get(ordered, F.floor(size / 2).cast("int"))
-    spread = F.greatest(F.lit(SPATIAL_SPREAD[parameter]), (F.get(ordered, size - 1) - F.get(ordered, F.lit(0))) / 2)
+    return spatial_verdict_of(parameter, own_change, size, F.get(ordered, F.lit(0)), median, F.get(ordered, size - 1))
+
+
+def spatial_verdict_of(parameter: str, own_change: Column, size: Column, low: Column, median: Column, high: Column) -> Column:
+    """``spatial_verdict`` from the number, least, upper median and greatest of the neighbours' changes."""
+    spread = F.greatest(F.lit(SPATIAL_SPREAD[parameter]), (high - low) / 2)
     shared = F.when(F.abs(median) >= REGIONAL_CHANGE[parameter], "regional_event").otherwise("consistent")
     enough = (size >= 2) & own_change.isNotNull()
     return F.when(~enough, "insufficient_neighbours").when(F.abs(own_change - median) <= spread, shared).otherwise("isolated")
