@@ -44,14 +44,14 @@ def channel_evidence(readings: DataFrame, edges: DataFrame) -> DataFrame:
     lift = F.coalesce(F.col("lapse") * (F.col("elevation") - F.col("height")), F.lit(0.0))
     estimate = F.when(F.col("channel") == "humidity", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("theirs")))).otherwise(F.col("theirs") - lift)
     weight = 1 / F.pow(F.greatest(F.col("distance"), F.lit(1.0)), 2)
-    met = edges.select("id", "neighbour", "distance").join(own, "id").join(theirs, ["neighbour", "channel"])
+    met = edges.select("id", "neighbour", "distance").join(own.hint("merge"), "id").join(theirs.hint("merge"), ["neighbour", "channel"])
     met = met.select("id", "channel", estimate.alias("x"), weight.alias("w"))
     sums = met.groupBy("id", "channel").agg(
         F.sort_array(F.collect_list(F.struct("x", "w"))).alias("near"),  # NEIGHBOURS at most
         (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"),
         F.stddev_pop("x").alias("spread"),
     )
-    out = own.select("id", "channel", F.col("value").alias("own"), "floor").join(sums, ["id", "channel"], "left")
+    out = own.select("id", "channel", F.col("value").alias("own"), "floor").join(sums.hint("merge"), ["id", "channel"], "left")
     out = out.withColumn("neighbours", F.coalesce(F.size("near"), F.lit(0)))
     out = out.withColumn("neighbours", F.when(F.col("near").isNull(), 0).otherwise(F.col("neighbours")))
     fit = F.col("own").isNotNull() & (F.col("neighbours") >= LEAST)
@@ -97,7 +97,7 @@ def evaluated(readings: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.avg(F.when(far, F.col("isolated"))), F.lit(0.0)).alias("isolated"),
     )
     leans = combined_attribution(channels.select("id", "classification", F.greatest("regional", "isolated").alias("strength")))
-    out = stations.join(leans.select("id", "attribution"), "id")
+    out = stations.join(leans.select("id", "attribution").hint("merge"), "id")
     seen = F.col("score").isNotNull()
     return out.select(
         "id",
