@@ -74,7 +74,7 @@ def q_snapshot(spark, sf):
     shift = F.expr("observed_at + make_dt_interval(0, 0, CASE WHEN id % 3 = 1 THEN 5 ELSE -5 END, 0)")
     batch = pool.where("id % 3 > 0").withColumns({"observed_at": shift, "temperature": c("temperature") + 1})
     held = job.snapshot(pool, batch)
-    scored = S.consensus(S.neighbour_edges(held.drop("temperature")), held, "temperature").join(batch.select("id"), "id", "left_semi")
+    scored = S.consensus(S.neighbour_edges(held.drop("temperature")), held, "temperature").join(batch.select("id").hint("merge"), "id", "left_semi")
     return scored.select("id", "neighbours", F.round("mean", 5).alias("mean"), (F.round(c("z") * 1e4) / 1e4).alias("z"))
 
 
