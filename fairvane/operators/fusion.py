@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ def _sum(parts: list[Column]) -> Column:
 
 
 def ensemble(score: dict[str, Column], available: dict[str, Column]) -> Column:
-    """Weighted mean over the available layers, 0 without any."""
-    weight = _sum([F.when(available[n], F.lit(w)).otherwise(0.0) for n, w in FUSION_WEIGHTS.items()])
+    """Weighted mean over the available layers, 0 without any; weights are added up as decimals, so that scores at the threshold reach it."""
+    exact = {n: F.lit(Decimal(str(w))) for n, w in FUSION_WEIGHTS.items()}
+    weight = _sum([F.when(available[n], w).otherwise(F.lit(Decimal(0))) for n, w in exact.items()]).cast("double")
     total = _sum([F.when(available[n], w * score[n]).otherwise(0.0) for n, w in FUSION_WEIGHTS.items()])
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
