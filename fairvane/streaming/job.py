@@ -30,6 +30,8 @@ def deduplicated(stream: DataFrame, memory: str = "6 hours") -> DataFrame:
     watermark and none is dropped as late; what is older than ``memory`` the sink holds back.
     """
     made = observation_id(F.col("station_id").cast("string"), F.col("source"), F.col("observed_at"))
+    part = F.date_format("observed_at", "SSSSSS")  # the id tells whole seconds, and a second may hold several observations
+    made = F.concat_ws(".", made, F.when(part != "000000", part))
     timed = stream.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withColumn("observation_id", made)
     entered = timed.withColumn("entered_at", F.current_timestamp()).withWatermark("entered_at", memory)
     return entered.dropDuplicatesWithinWatermark(["observation_id"]).drop("entered_at")
