@@ -193,8 +193,9 @@ def q_push(spark, sf):
     bodies = e.groupBy("request").agg(F.concat(F.lit('{"observations": ['), F.array_join(F.array_sort(F.collect_list(item)), ", "), F.lit("]}")).alias("body"))
     bodies = bodies.withColumn("body", F.when(c("request") % 9 == 0, F.lit("no json")).otherwise(c("body")))
     feed, good, bad = shared_path(spark, "feed"), shared_path(spark, "accepted"), shared_path(spark, "rejected")
-    bodies.repartition(2).write.parquet(feed)
-    stream = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    files = spark.sparkContext.defaultParallelism  # of a micro-batch, so that every core judges some
+    bodies.repartition(2 * files).write.parquet(feed)
+    stream = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", files).parquet(feed)
     push.run_push(spark, stream, good, bad, shared_path(spark, "progress"))
     accepted = spark.read.parquet(good).agg(F.lit("ACCEPTED").alias("outcome"), F.count("*").alias("items"), r6(F.max("temperature")).alias("highest"))
     rejected = spark.read.parquet(bad).groupBy(c("reason").alias("outcome")).agg(F.count("*").alias("items"))
