@@ -15,6 +15,7 @@ NOON = datetime.datetime(2024, 1, 5, 12)
     [
         ("MDL15_fusion", [(154833, NOON)]),
         ("MDL16_root_cause", [(154833, NOON)]),
+        ("MDL16_root_cause", [(154833, NOON), (154833, NOON), (5, NOON)]),
         ("ST02_deduplication", [(3, NOON.replace(microsecond=1)), (4, NOON.replace(microsecond=2)), (5, NOON.replace(microsecond=2)), (6, NOON)]),
     ],
 )
