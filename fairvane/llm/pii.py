@@ -11,8 +11,8 @@ The trees learn from base matches of the corpus, from other written forms of the
 separators, no plus sign, a mistyped digit, "at" and "dot"), from made-up ones of the same
 kinds, from parts of all these (wrong bounds), and from number-like texts that are no
 personal data.  What the base patterns leave unmatched in the corpus has no label and is
-not learned from.  Equal examples count once; at most ``max_rows`` of those from the
-corpus, in the order of a hash, are used.  Held-out examples come from other documents
+not learned from.  Equal examples count once, and all distinct ones are used: the trees grow
+from histograms that tasks add up (``boost``).  Held-out examples come from other documents
 and equal none that was trained on.  Every document is searched over its whole text.
 
 Defined results: a null or empty text has no spans; repeated rows are kept; spans are in
@@ -28,14 +28,17 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from ..operators.ranges import running
+from .common import stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -316,39 +319,128 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.3) -> Boosted:
-    model = Boosted(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    if not len(y) or y.min() == y.max():
-        return model
-    grid = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
-    f = np.full(len(y), model.prior)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-f))
-        slope, bend = y - p, p * (1 - p)
-        columns, cuts = np.zeros(7, np.int64), np.full(7, np.inf)
-        at = np.zeros(len(y), np.int64)
-        for node in range(7):
-            here = at == node
-            if here.sum() >= 8:
-                columns[node], cuts[node] = _best_cut(x[here], slope[here], bend[here], grid)
-            at = np.where(here, 2 * node + 1 + (x[:, columns[node]] > cuts[node]), at)
-        leaves = np.array([rate * slope[at == k].sum() / (bend[at == k].sum() + 1.0) for k in range(7, 15)])
-        f += leaves[at - 7]
-        model.trees.append((columns, cuts, leaves))
-    return model
+#: Cuts of a feature at most, and rows of a block of training examples.
+CUTS, BLOCK_ROWS = 31, 50_000
+#: Gradients are whole multiples of this, so that sums are exact in any order and partitioning.
+UNIT = 2.0**-30
+NO_CUT = 255
+
+
+def _grid(counts: list[tuple[int, float, int]], width: int) -> list[np.ndarray]:
+    """Cuts of each feature: quantiles, linear between neighbours, of its values with their counts."""
+    out = []
+    for j in range(width):
+        mine = sorted((v, n) for f, v, n in counts if f == j)
+        if not mine:
+            out.append(np.array([]))
+            continue
+        values, upto = np.array([v for v, _ in mine]), np.cumsum([n for _, n in mine])
+        at = (upto[-1] - 1) * np.linspace(0, 1, CUTS + 2)[1:-1]
+        low = np.floor(at).astype(np.int64)
+        here, above = (values[np.searchsorted(upto, np.minimum(k, upto[-1] - 1), side="right")] for k in (low, low + 1))
+        out.append(np.unique(here + (above - here) * (at - low)))
+    return out
+
+
+def _leaf(x: np.ndarray, tree: tuple, levels: int = 3) -> np.ndarray:
+    """Number of the node (0 is the leftmost of its level) that each column of binned features reaches."""
+    columns, cuts = tree[:2]
+    at = np.zeros(x.shape[1], np.uint8)
+    for level in range(levels):
+        right, first = np.zeros(x.shape[1], bool), 2**level - 1
+        for node in range(2**level):
+            right |= (at == node) & (x[columns[first + node]] > cuts[first + node])
+        at = 2 * at + right
+    return at
+
+
+def _sums(x: np.ndarray, negative: np.ndarray, positive: np.ndarray, prior: float, trees: list, growing: tuple, level: int) -> np.ndarray:
+    """Sums of gradient, curvature and rows by node of the level, feature and slot."""
+    f = np.full(x.shape[1], prior)
+    for tree in trees:
+        f += tree[2][_leaf(x, tree)]
+    p = 1 / (1 + np.exp(-f))
+    both = negative.astype(float) + positive
+    amounts = [np.rint((positive - both * p) / UNIT), np.rint(both * p * (1 - p) / UNIT), both]
+    at = _leaf(x, growing, level).astype(np.int64) * (CUTS + 1)
+    slots = 2**level * (CUTS + 1)
+    out = np.array([[np.bincount(at + row, a, slots) for row in x] for a in amounts])
+    return out.astype(np.int64).reshape(3, len(x), 2**level, CUTS + 1).transpose(0, 2, 1, 3)
+
+
+def _best_cut(g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+    """The feature and slot of greatest gain, from sums by feature and slot."""
+    left_g, left_h = np.cumsum(g, 1)[:, :-1], np.cumsum(h, 1)[:, :-1]
+    all_g, all_h = g[0].sum(), h[0].sum()
+    gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1)
+    best = int(gain.argmax())
+    return divmod(best, gain.shape[1]) if gain.flat[best] > 1e-9 else (0, NO_CUT)
+
+
+def _binned(grid: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Slots of features, one row for each feature."""
+    return np.array([np.searchsorted(cuts, column, side="left") for cuts, column in zip(grid, x.T)], np.uint8)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of features out of a column of their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(float)
 
 
-def _best_cut(x: np.ndarray, slope: np.ndarray, bend: np.ndarray, grid: list[np.ndarray]) -> tuple[int, float]:
-    best, where = 1e-9, (0, np.inf)
-    g, h = slope.sum(), bend.sum()
-    for j, cuts in enumerate(grid):
-        slot = np.searchsorted(cuts, x[:, j], side="left")
-        gl = np.cumsum(np.bincount(slot, slope, len(cuts) + 1))[:-1]
-        hl = np.cumsum(np.bincount(slot, bend, len(cuts) + 1))[:-1]
-        gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-        if len(gain) and gain.max() > best:
-            best, where = float(gain.max()), (j, float(cuts[gain.argmax()]))
-    return where
+def boost(rows: DataFrame, rounds: int = 80, rate: float = 0.3) -> Boosted:
+    """Fit on all ``rows`` (x: bytes of 32-bit features, negative and positive: how often with either label).
+
+    Rows stay in blocks of bounded size among the tasks.  Every level of every tree is one pass that adds
+    up histograms of gradients; these, and the counts of each feature's values, are all that leaves a task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = np.array(batch.column("negative")) + np.array(batch.column("positive"))
+            for j, column in enumerate(_matrix(batch.column("x")).T if len(times) else []):
+                values, at = np.unique(column, return_inverse=True)
+                n = np.bincount(at, times, len(values)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), j, np.int32)), pa.array(values), pa.array(n)], names=["f", "v", "n"])
+
+    total, bad, good = rows.agg(F.count(F.lit(1)), F.sum("negative"), F.sum("positive")).first()
+    model = Boosted(float(np.log(((good or 0) + 1) / ((bad or 0) + 1))))
+    if not bad or not good:
+        return model
+    counts = rows.mapInArrow(count, "f int, v double, n long").groupBy("f", "v").agg(F.sum("n")).collect()
+    grid = _grid(counts, max(r[0] for r in counts) + 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(_binned(grid, _matrix(b.column("x"))), np.array(b.column("negative")), np.array(b.column("positive"))) for b in batches if len(b)]
+        if held:
+            parts = [np.concatenate(part, axis=-1).astype(np.uint8) for part in zip(*held)]
+            yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()) for part in parts], names=["x", "negative", "positive"])
+
+    width, trees = len(grid), []
+    blocks = rows.coalesce(-(-total // BLOCK_ROWS)).mapInArrow(pack, "x binary, negative binary, positive binary").rdd
+    blocks = blocks.map(lambda r: tuple(np.frombuffer(part, np.uint8) for part in r)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(rounds):
+            columns, slots, leaves = np.zeros(7, np.int64), np.full(7, NO_CUT, np.int64), np.zeros(8)
+            for level in range(3):
+                known, growing = list(trees), (columns.copy(), slots.copy())
+                sums = blocks.map(
+                    lambda b: _sums(b[0].reshape(width, -1), b[1], b[2], model.prior, known, growing, level)  # noqa: B023
+                ).treeReduce(np.add)
+                for node in range(2**level):
+                    g, h = sums[0, node] * UNIT, sums[1, node] * UNIT
+                    at = 2**level - 1 + node
+                    if sums[2, node, 0].sum() >= 8:
+                        columns[at], slots[at] = _best_cut(g, h)
+                    if level == 2:
+                        left = slice(slots[at] + 1)
+                        for side, (a, c) in enumerate(((g[columns[at], left], h[columns[at], left]), (g[columns[at]][slots[at] + 1 :], h[columns[at]][slots[at] + 1 :]))):
+                            leaves[2 * node + side] = rate * a.sum() / (c.sum() + 1.0)
+            trees.append((columns, slots, leaves))
+            cuts = np.array([np.inf if k == NO_CUT or k >= len(grid[j]) else grid[j][k] for j, k in zip(columns, slots)])
+            model.trees.append((columns, cuts, leaves))
+    finally:
+        blocks.unpersist()
+    return model
 
 
 @dataclass
@@ -395,9 +487,16 @@ def _touches(spans: list[Span], start: int, end: int) -> bool:
     return at > 0 and spans[at - 1][1] > start
 
 
-def train(docs: DataFrame, max_rows: int = 20_000, made_up_examples: int = 500, precision: float = 0.97) -> Judge:
-    """Fit on a bounded number of examples; four fifths train, one fifth sets the thresholds."""
+def labelled_examples(docs: DataFrame, made_up_examples: int = 500) -> DataFrame:
+    """All distinct examples of the corpus and the made-up ones, stored: x (bytes of its features), and for
+    either label how often it trains (0 or 1) and how often it is held out."""
     texts = docs.select(whole_text().alias("text"))
+    row = "label int, x binary, made_up int, part long"
+
+    def batch_of(found: dict[tuple, int], made: int) -> pa.RecordBatch:
+        labels, xs = zip(*found) if found else ((), ())
+        columns = [pa.array(labels, pa.int32()), pa.array(xs, pa.binary()), pa.array([made] * len(labels), pa.int32()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["label", "x", "made_up", "part"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,32 +511,54 @@ def train(docs: DataFrame, max_rows: int = 20_000, made_up_examples: int = 500,
                             for label, x in _of_match(text, s, e, kind):
                                 key = (label, np.array(x, np.float32).tobytes())
                                 found[key] = min(group, found.get(key, group))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in found], pa.int32()),
-                    pa.array([k[1] for k in found], pa.binary()),
-                    pa.array(list(found.values()), pa.int64()),
-                ],
-                names=["label", "x", "part"],
-            )
+            yield batch_of(found, 0)
+
+    def make_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, int] = {}
+            for number in batch.column("id").to_pylist():
+                for group, text, s, e, kind in made_up(number):
+                    part = xxhash.xxh3_64_intdigest(group) >> 1
+                    for label, x in examples(text, s, e, kind):
+                        key = (label, np.array(x, np.float32).tobytes())
+                        found[key] = min(part, found.get(key, part))
+            yield batch_of(found, 1)
+
+    made = docs.sparkSession.range(made_up_examples).mapInArrow(make_up, row)
+    rows = texts.mapInArrow(describe, row).unionByName(made)
+    # An example's part is the corpus's where it has it.
+    part = {y: F.min(F.when(F.col("label") == y, F.struct("made_up", "part")))["part"] % 5 for y in (0, 1)}
+    known = rows.groupBy("x").agg(part[0].alias("negative"), part[1].alias("positive"))
+    count = lambda y, held: F.coalesce(((F.col(y) == 0) == held).cast("int"), F.lit(0))
+    both = ("negative", "positive")
+    return stored(known.select("x", *[count(y, False).alias(y) for y in both], *[count(y, True).alias(f"held_{y}") for y in both]), "examples")
+
+
+def train(docs: DataFrame, made_up_examples: int = 500, precision: float = 0.97) -> Judge:
+    """Fit on every distinct example; four fifths train, one fifth sets the thresholds."""
+    rows = labelled_examples(docs, made_up_examples)
+    model = boost(rows.where("negative + positive > 0").select("x", "negative", "positive"))
+    return Judge(model, _thresholds(rows.where("negative + positive = 0"), model, precision))
+
+
+def _thresholds(rows: DataFrame, model: Boosted, precision: float) -> dict[str, float]:
+    """For each kind the lowest score, 0.5 at least, from which on the share of true spans is at least ``precision``."""
+    share = Fraction(str(precision))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = _matrix(batch.column("x"))
+                bad, good = (np.array(batch.column(f"held_{y}")).astype(np.int64) for y in ("negative", "positive"))
+                # Not negative as long as the share of true ones is reached.
+                over = share.denominator * good - share.numerator * (good + bad)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[:, : len(KINDS)].argmax(1)), pa.array(-model.probability(x)), pa.array(over)], names=["kind", "back", "over"]
+                )
 
-    rows = texts.mapInArrow(describe, "label int, x binary, part long").groupBy("label", "x").agg(F.min("part").alias("part"))
-    found = rows.orderBy(F.xxhash64("x"), "label", "x").limit(max_rows).collect()
-    seen = {(r["label"], r["x"]): r["part"] for r in found}
-    for number in range(made_up_examples):
-        for group, text, s, e, kind in made_up(number):
-            for label, x in examples(text, s, e, kind):
-                seen.setdefault((label, np.array(x, np.float32).tobytes()), xxhash.xxh3_64_intdigest(group) >> 1)
-    ordered = sorted(seen)
-    y = np.array([k[0] for k in ordered], float)
-    x = np.frombuffer(b"".join(k[1] for k in ordered), np.float32).reshape(len(ordered), -1).astype(float)
-    held = np.array([seen[k] % 5 == 0 for k in ordered])
-    trained = {k[1] for k, h in zip(ordered, held) if not h}
-    fresh = held & np.array([k[1] not in trained for k in ordered])
-    model = boost(x[~held], y[~held])
-    p = model.probability(x[fresh])
-    kinds = {k: x[fresh][:, i] == 1 for i, k in enumerate(KINDS)}
-    return Judge(model, {k: _threshold(p[here], y[fresh][here], precision) for k, here in kinds.items()})
+    scored = rows.mapInArrow(score, "kind long, back double, over long").groupBy("kind", "back").agg(F.sum("over").alias("over"))
+    lowest = running(scored, ["kind"], ["back"], "over").where("upto >= 0").groupBy("kind").agg(F.max("back").alias("back")).collect()
+    return dict.fromkeys(KINDS, 2.0) | {KINDS[r.kind]: max(0.5, -r.back) for r in lowest}
 
 
 def _of_match(text: str, start: int, end: int, kind: str) -> list[tuple[int, list[float]]]:
@@ -449,14 +570,6 @@ def _of_match(text: str, start: int, end: int, kind: str) -> list[tuple[int, lis
     return rows
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest score from which on the share of true spans is at least ``precision``."""
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-    good = np.nonzero(right >= precision)[0]
-    return float(max(0.5, p[order][good[-1]])) if len(good) else 2.0
-
-
 _ROW = "doc_id {}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
@@ -464,9 +577,9 @@ def listed(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in sorted(spans[k]))
 
 
-def find_personal_data(docs: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def find_personal_data(docs: DataFrame) -> DataFrame:
     """Counts of base spans by kind, a digest of them, all spans, and how many were added, per document."""
-    judge = train(docs, max_rows)
+    judge = train(docs)
     fields = docs.select("doc_id", whole_text().alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

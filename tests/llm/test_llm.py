@@ -553,6 +553,62 @@ def test_personal_data_repeats_and_long_texts(spark, judge):
     assert judge.added("", pii.base_spans("")) == {k: [] for k in pii.KINDS}
 
 
+def plain_boost(every, y, rounds):
+    """Boosted trees of depth three with every row in one place, by the definition; rates and cuts as in ``boost``."""
+    grid = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in every.T]
+    y = y.astype(float)
+    f = np.full(len(y), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-f))
+        slope, bend = y - p, p * (1 - p)
+        here = {0: np.arange(len(y))}
+        for level in range(3):
+            nodes = {}
+            for node, at in here.items():
+                best, side = 1e-9, np.zeros(len(at), bool)
+                g, h = slope[at].sum(), bend[at].sum()
+                for j, cuts in enumerate(grid):
+                    for cut in cuts if len(at) >= 8 else ():
+                        right = every[at, j] > cut
+                        a, b = slope[at][right].sum(), bend[at][right].sum()
+                        gain = a**2 / (b + 1) + (g - a) ** 2 / (h - b + 1) - g**2 / (h + 1)
+                        if gain > best + 1e-12:
+                            best, side = gain, right
+                nodes[2 * node], nodes[2 * node + 1] = at[~side], at[side]
+            here = nodes
+        for at in here.values():
+            f[at] += 0.3 * slope[at].sum() / (bend[at].sum() + 1.0)
+    return f
+
+
+def test_trees_grow_from_all_rows(spark, monkeypatch):
+    """Rows in several blocks give the trees of all rows in one place."""
+    r = np.random.default_rng(3)
+    x = np.unique(np.column_stack([r.integers(0, 6, 3000), r.normal(0, 2, 3000), r.integers(0, 50, 3000)]).astype(np.float32), axis=0)
+    y = (x[:, 0] * 0.7 + np.abs(x[:, 1]) + r.normal(0, 0.7, len(x)) > 3).astype(int)
+    monkeypatch.setattr(pii, "BLOCK_ROWS", 700)
+    rows = [(v.tobytes(), int(not k), int(k)) for v, k in zip(x, y)]
+    df = spark.createDataFrame(rows, "x binary, negative int, positive int").repartition(7)
+    model = pii.boost(df, rounds=4)
+    every = x.astype(float)
+    want = plain_boost(every, y, 4)
+    assert len(model.trees) == 4 and np.abs(model.margin(every) - want).max() < 1e-6
+
+
+def test_every_distinct_example_counts(spark):
+    """No number of distinct examples is left out, in training and in what sets the thresholds."""
+    texts = [f"call +49 {i % 997:03d} {1000 + i}-{i % 89:02d} or a{i}@b{i % 13}.org now" for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = set()
+    for t in texts:
+        for kind, at in pii.base_spans(t).items():
+            want |= {(label, np.array(x, np.float32).tobytes()) for s, e in at for label, x in pii._of_match(t, s, e, kind)}
+    got = pii.labelled_examples(df, 0).collect()
+    assert {(y, bytes(r.x)) for r in got for y, n in ((0, r.negative + r.held_negative), (1, r.positive + r.held_positive)) if n} == want
+    back = pii._thresholds(spark.createDataFrame([(np.array([0, 0, 0, 1], np.float32).tobytes(), 3, 97)], "x binary, held_negative int, held_positive int"), pii.Boosted(0.0), 0.97)
+    assert back == {"email": 2.0, "ip": 2.0, "card": 2.0, "phone": 0.5}
+
+
 # ---- media
 
 
