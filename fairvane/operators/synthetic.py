@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,54 +100,75 @@ def autoregressive(df: DataFrame, keys: list[str], order: str, carry: str, noise
     return dealt.mapInPandas(run, f"{kinds}, `{name}` double")
 
 
+def carried(df: DataFrame, noises: str, carry: float) -> DataFrame:
+    """The array column ``noises`` made a recursion along itself: carry * (the value before) + noise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(noises)
+            values = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).copy() if len(batch) else None
+            if values is not None and values.size:
+                for i in range(1, values.shape[1]):
+                    values[:, i] += carry * values[:, i - 1]
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * values.shape[1]
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:at], made, *batch.columns[at + 1 :]], names=batch.schema.names)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
 def synthetic_network(stations: DataFrame, ticks: int, seconds: float = 600.0) -> DataFrame:
     """Readings of every station at each tick: daily wave, tide, regional weather, offsets, sensor steps.
 
     ``stations``: id, lat, lon, t_mean, td_mean, p_base, wind_mean.  Regional weather is a
     sum of plane waves with amplitudes of first-order memory, so near stations see nearly
-    the same.  The amplitudes are one row for each tick, joined to the stations' ticks.
+    the same.  The amplitudes are one row for each tick, sent to all tasks.  What a station has
+    of a wave, its offsets and its gusts are worked out once, before it is spread over the ticks.
     """
     spark = stations.sparkSession
     wave = spark.range(len(FIELDS) * WAVES).withColumnRenamed("id", "wave")
-    angle, number = 2 * F.pi() * uniform(F.col("wave"), "theta"), 2 * F.pi() * 111.0 / (600.0 + 900.0 * uniform(F.col("wave"), "length"))
-    field = F.element_at(F.array(*[F.lit(x) for x in FIELDS]), (F.col("wave") / WAVES).cast("int") + 1)
     sigma = F.element_at(F.array(*[F.lit(x / 2**0.5) for x in FIELDS.values()]), (F.col("wave") / WAVES).cast("int") + 1)
-    tick = F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))).alias("tick")
+    every_tick = F.sequence(F.lit(0), F.lit(ticks - 1))
     gap = F.when(F.col("tick") == 0, 60.0).otherwise(F.lit(seconds))
     keep = F.exp(-gap / TAU_S)
-    drawn = wave.select("wave", field.alias("field"), sigma.alias("sigma"), tick, *[
-        x.alias(n) for n, x in {"kx": number * F.cos(angle), "ky": number * F.sin(angle), "phi": 2 * F.pi() * uniform(F.col("wave"), "phi")}.items()
-    ])
+    drawn = wave.select("wave", sigma.alias("sigma"), F.explode(every_tick).alias("tick"))
     noise = F.sqrt(1 - keep * keep) * F.col("sigma") * normal(F.concat_ws("-", "wave", "tick"), "wave")
     waves = autoregressive(drawn.withColumns({"keep": keep, "noise": noise}), ["wave"], "tick", "keep", "noise", "a")
-    regional = waves.groupBy("tick").agg(F.collect_list(F.struct("field", "kx", "ky", "phi", "a")).alias("waves"))
+    numbers = range(len(FIELDS) * WAVES)
+    regional = waves.groupBy("tick").agg(*[F.max(F.when(F.col("wave") == n, F.col("a"))).alias(f"a{n}") for n in numbers])
+
+    def crest(n: int) -> Column:
+        key = F.lit(n)
+        angle, number = 2 * F.pi() * uniform(key, "theta"), 2 * F.pi() * 111.0 / (600.0 + 900.0 * uniform(key, "length"))
+        return F.cos(number * F.cos(angle) * F.col("lon") + number * F.sin(angle) * F.col("lat") + 2 * F.pi() * uniform(key, "phi"))
 
-    at = stations.select("*", tick)
+    def offset(name: str, size: float) -> Column:
+        return size * (2 * uniform(F.col("id"), f"offset-{name}") - 1)
+
+    known = stations.repartition(4 * spark.sparkContext.defaultParallelism, "id").select(
+        "*", *[crest(n).alias(f"c{n}") for n in numbers], *[offset(n, x).alias(f"offset_{n}") for n, x in {"t": 0.6, "td": 0.8, "p": 0.3}.items()],
+        F.transform(every_tick, lambda tick: 1.2 * normal(F.concat_ws("-", "id", tick), "wind")).alias("gusts"),
+    )
+    at = carried(known, "gusts", 0.85).select("*", F.posexplode("gusts").alias("tick", "gust")).drop("gusts")
     hour = F.pmod(F.col("tick") * seconds / 3600.0 + F.col("lon") / 15.0, F.lit(24.0))
-    gust = 1.2 * normal(F.concat_ws("-", "id", "tick"), "wind")
-    at = autoregressive(at.withColumns({"keep": F.lit(0.85), "noise": gust}), ["id"], "tick", "keep", "noise", "gust")
-    at = at.withColumn("hour", hour).join(regional, "tick")
+    at = at.withColumn("hour", hour).join(F.broadcast(regional), "tick")
 
     def weather(name: str) -> Column:
-        own = F.filter("waves", lambda w: w["field"] == name)
-        return F.aggregate(
-            own, F.lit(0.0), lambda s, w: s + w["a"] * F.cos(w["kx"] * F.col("lon") + w["ky"] * F.col("lat") + w["phi"])
-        )
+        first = list(FIELDS).index(name) * WAVES
+        return sum((F.col(f"a{n}") * F.col(f"c{n}") for n in range(first, first + WAVES)), F.lit(0.0))
 
     def jitter(name: str, size: float) -> Column:
         return size * normal(F.concat_ws("-", "id", "tick"), name)
 
-    def offset(name: str, size: float) -> Column:
-        return size * (2 * uniform(F.col("id"), f"offset-{name}") - 1)
-
     day = F.sin(2 * F.pi() * (F.col("hour") - 9) / 24)
-    at = at.withColumn("t", F.col("t_mean") + DIURNAL_C * day + offset("t", 0.6) + weather("t") + jitter("t", 0.05))
-    at = at.withColumn("td", F.least(F.col("td_mean") + offset("td", 0.8) + weather("td") + jitter("td", 0.08), F.col("t") - 0.3))
+    at = at.withColumn("t", F.col("t_mean") + DIURNAL_C * day + F.col("offset_t") + weather("t") + jitter("t", 0.05))
+    at = at.withColumn("td", F.least(F.col("td_mean") + F.col("offset_td") + weather("td") + jitter("td", 0.08), F.col("t") - 0.3))
     vapour = lambda x: F.lit(17.62) * x / (243.12 + x)
     values = {
         "temperature": F.col("t"),
         "humidity": 100 * F.exp(vapour(F.col("td")) - vapour(F.col("t"))),
-        "pressure": F.col("p_base") + TIDE_HPA * F.cos(2 * F.pi() * (F.col("hour") - 10) / 12) + offset("p", 0.3) + weather("p") + jitter("p", 0.03),
+        "pressure": F.col("p_base") + TIDE_HPA * F.cos(2 * F.pi() * (F.col("hour") - 10) / 12) + F.col("offset_p") + weather("p") + jitter("p", 0.03),
         "wind_speed": F.greatest(F.lit(0.0), F.col("wind_mean") * (1 + 0.3 * day) + F.col("gust")),
     }
     return at.select("id", "tick", *[F.round(F.round(x / RESOLUTION[n]) * RESOLUTION[n], 4).alias(n) for n, x in values.items()])

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from fairvane.operators import calibration as K
@@ -100,3 +101,21 @@ def test_near_stations_see_the_same_weather(spark):
     moved = wide.sub(wide.mean())
     assert moved.sub(moved[0], axis=0).abs().max().max() < 0.3  # only sensor noise and steps differ
     assert out.humidity.between(0, 100).all() and (out.wind_speed >= 0).all()
+
+
+def test_network_spreads_stations_over_ticks_last(spark):
+    """Gusts follow their recursion within a station's row, and no reading passes a shuffle, sort or Python."""
+    noises = [[1.0, -2.0, 0.5, 3.0], [0.0, 1.0, 0.0, 0.0]]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(noises)], "id long, x array<double>").unionByName(spark.createDataFrame([], "id long, x array<double>"))
+    for r in Y.carried(table, "x", 0.85).collect():
+        want, value = [], 0.0
+        for x in noises[r.id]:
+            value = 0.85 * value + x
+            want.append(value)
+        assert r.x == pytest.approx(want, abs=1e-12)
+    known = spark.range(50).selectExpr("id", "1D + id AS lat", "2D AS lon", "20D AS t_mean", "12D AS td_mean", "1000D AS p_base", "8D AS wind_mean")
+    out = Y.synthetic_network(known, 24)
+    assert out.count() == 50 * 24
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    readings = plan[: plan.index("Generate posexplode")].split("Join")[0]
+    assert plan.count("MapInPandas") == 1 and not any(x in readings for x in ("Repartition", "Sort", "MapIn"))
